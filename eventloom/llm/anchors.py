@@ -22,6 +22,8 @@ import pyarrow as pa
 from . import textcodes as tc
 
 RUN_SCHEMA = "f long, d long, doc long, at long, cnt int"
+#: ``cnt`` of byte runs holds the anchor's offset from the run's start in its upper half.
+ANCHOR_SHIFT = 16
 
 
 def runs_of(grams: np.ndarray, prefix: np.ndarray, down: np.ndarray, ok: np.ndarray, window: int, gram: int):
@@ -79,7 +81,7 @@ def byte_runs(window: int, gram: int):
                 prefix, down = prefix_sums(codes, tc.BASE_BYTE)
                 grams = tc.mix((prefix[gram:] - prefix[:-gram]) * down[: len(buf) - gram + 1])
                 at, count, anchor, digest = runs_of(grams, prefix, down, tc.inside(offs, len(buf), window), window, gram)
-                yield _rows(part, tc.owners(offs, len(buf))[at], at, offs, count, grams[anchor], digest)
+                yield _rows(part, tc.owners(offs, len(buf))[at], at, offs, count | (anchor - at) << ANCHOR_SHIFT, grams[anchor], digest)
 
     return run
 

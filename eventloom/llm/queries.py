@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .session import table
 from .substring_dedup import remove_known_windows
+from .suffix_dedup import remove_repeated_bytes
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -31,5 +32,10 @@ select d.doc_id, len(d.w)::bigint as n_words, (len(d.w) - coalesce(n_kept, 0))::
 from d left join kept using (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_substring_dedup": op4_substring_dedup}
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_substring_dedup": op4_substring_dedup, "op7_suffix_array_dedup": op7_suffix_array_dedup}
 SQL: dict[str, str] = {"op4_substring_dedup": OP4_SQL}
