@@ -7,13 +7,77 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_rules
+from .mixing import mix_sources
 from .session import table
+from .sharding import shard_documents
 from .substring_dedup import remove_known_windows
 from .suffix_dedup import remove_repeated_bytes
 
+#: DuckDB has no crc32: its reflected polynomial applied to the digits of the id, bit by bit.
+_NOT_HELD_OUT = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b:
+  list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda r, z: case when r & 1 = 1 then xor(r >> 1, 3988292384::bigint) else r >> 1 end)), 4294967295::bigint) % 5 <> 0"""
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP1_SQL = f"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS}))::bigint as size,
+  ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as key from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (select *, ((row_number() over (order by source is null, source) - 1) % 3 + 1)::double as weight from s),
+c as (select *, source_size::double * 3 as cap, source_size::double * 3 / weight as ratio, (sum(source_size) over ())::double as total from w),
+l as (select *, (total - coalesce(sum(cap) over b, 0)) / (sum(weight) over () - coalesce(sum(weight) over b, 0)) as level
+  from c window b as (order by ratio, source nulls first rows between unbounded preceding and 1 preceding)),
+t as (select source, source_size, round(least(cap, weight * coalesce((select level from l where level <= ratio order by ratio, source nulls first limit 1), (select max(ratio) from l))), 6) as target from l),
+b as (select *, floor(target + 0.5)::bigint as budget from t),
+e as (select *, case when source_size > 0 then budget // source_size else 0 end as epochs from b),
+p as (select d.*, sum(d.size) over (partition by d.source order by key, doc_id, size rows unbounded preceding) - d.size as before from d)
+select p.doc_id, p.size, e.source_size, e.target,
+  (e.epochs * p.size + greatest(0, least(p.size, e.budget - e.epochs * e.source_size - p.before)))::bigint as taken
+from p join e on p.source is not distinct from e.source
+"""
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op2_sql() -> str:
+    rules = quality_rules.RULES
+    reached = ", ".join("(" + " + ".join(f"(100 * {a} >= {c} * {b})::int" for c in cuts) + f") as r_{r}" for r, (a, b, cuts) in rules.items())
+    risk, level, steps = 0.05 / len(rules), 0.05, max(len(c) for _, _, c in rules.values())
+    tests = " union all ".join(f"select stratum, '{r}' as rule, r_{r} as reached from good" for r in rules)
+    cuts = ", ".join(f"max(case when rule = '{r}' then ({list(c)})[step] end) as cut_{r}" for r, (_, _, c) in rules.items())
+    refused = " or ".join(f"coalesce(100 * {a} >= cut_{r} * {b}, false)" for r, (a, b, _) in rules.items())
+    return f"""
+with recursive d as (select doc_id, lang, coalesce(text, '') as t from documents),
+w as (select doc_id, lang, t, regexp_extract_all(t, {WORDS}) as w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines from d),
+x as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from w),
+g as (select doc_id, i, w[i:i + 2] as g from x),
+rep as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from g) where c > 1),
+cover as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from rep) group by doc_id),
+s as (select w.doc_id, lang, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+  (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, len(lines)::bigint as n_lines,
+  (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(cover.n, 0)::bigint as n_repeat_words from w left join cover on w.doc_id = cover.doc_id),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s),
+good as (select lang as stratum, {reached} from f join labels using (doc_id) where quality = 1 and not base_failed and {_NOT_HELD_OUT}),
+cnt as (select stratum, rule, reached, count(*) as c from ({tests}) group by all),
+k as (select stratum, rule, step, sum(c)::bigint as n, coalesce(sum(c) filter (where reached >= step), 0)::bigint as k from cnt, range(1, {steps + 1}) r(step) group by all),
+p as (select *, (select count(*) from (select distinct stratum, rule from k)) as m,
+  case when k >= n * {risk!r} then 1 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln({1 - risk!r})))) end as p from k),
+strict as (select stratum, rule, coalesce(max(step) filter (where p > {level} / m), 0) + 1 as step from p group by all),
+cut as (select stratum, {cuts} from strict where step <= {steps} group by stratum)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({refused}) as kept
+from f left join cut on f.lang is not distinct from cut.stratum
+"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_known_windows(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -32,10 +96,29 @@ select d.doc_id, len(d.w)::bigint as n_words, (len(d.w) - coalesce(n_kept, 0))::
 from d left join kept using (doc_id)
 """
 
+def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dealt.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_substring_dedup": op4_substring_dedup, "op7_suffix_array_dedup": op7_suffix_array_dedup}
-SQL: dict[str, str] = {"op4_substring_dedup": OP4_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_quality_rules": op2_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op6_histogram_shards": op6_histogram_shards,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
+}
+SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": _op2_sql(), "op4_substring_dedup": OP4_SQL}
