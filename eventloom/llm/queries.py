@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import quality_rules
 from .mixing import mix_sources
+from .ngram_join import link_components
 from .session import table
 from .sharding import shard_documents
 from .substring_dedup import remove_known_windows
@@ -96,6 +97,24 @@ select d.doc_id, len(d.w)::bigint as n_words, (len(d.w) - coalesce(n_kept, 0))::
 from d left join kept using (doc_id)
 """
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) as w from documents),
+g as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from d),
+s as (select doc_id, unnest(g) as x from g),
+n as (select doc_id, len(g)::bigint as n from g),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all),
+e as (select a, b from pair join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 90 * (na.n + nb.n - c)),
+sym as (select a, b from e union all select b, a from e),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, sym.b from reach r join sym on r.y = sym.a)
+select x as doc_id, n.n as n_shingles, min(y) as component_id from reach join n on n.doc_id = x group by x, n.n
+"""
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dealt.select(
@@ -118,7 +137,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
 }
-SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": _op2_sql(), "op4_substring_dedup": OP4_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": _op2_sql(), "op4_substring_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL}
