@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_classifier, quality_rules, toxicity
+from .labelled import held_out
 from .mixing import mix_sources
 from .ngram_join import link_components
 from .session import table
@@ -79,6 +80,13 @@ from f left join cut on f.lang is not distinct from cut.stratum
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = quality_classifier.describe(table(spark, sf_dir, "documents"))
+    model = quality_classifier.train(described, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(described, model)
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_known_windows(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -133,12 +141,21 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep_columns=["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": _op2_sql(), "op4_substring_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL}

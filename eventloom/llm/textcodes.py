@@ -79,13 +79,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         at = to
 
 
-def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of all words, and for each text the index of its first word (n + 1 values)."""
+def word_bounds(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of all runs of bytes not in ``space``, and for each text the index of its first word (n + 1 values)."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    solid = ~SPACE[buf]
+    solid = ~space[buf]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     begin = solid.copy()
