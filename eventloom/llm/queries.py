@@ -15,6 +15,7 @@ from .session import table
 from .sharding import shard_documents
 from .substring_dedup import remove_known_windows
 from .suffix_dedup import remove_repeated_bytes
+from .vector_graph import nearest
 
 #: DuckDB has no crc32: its reflected polynomial applied to the digits of the id, bit by bit.
 _NOT_HELD_OUT = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b:
@@ -141,6 +142,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -156,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op9_vector_graph": op9_vector_graph,
     "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": _op2_sql(), "op4_substring_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL}
