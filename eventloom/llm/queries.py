@@ -11,6 +11,7 @@ from . import quality_classifier, quality_rules, toxicity
 from .labelled import held_out
 from .mixing import mix_sources
 from .ngram_join import link_components
+from .piece_lattice import encode_texts
 from .session import table
 from .sharding import shard_documents
 from .substring_dedup import remove_known_windows
@@ -142,6 +143,11 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_texts(table(spark, sf_dir, "documents"), keep_columns=["doc_id"])
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "nbest_scores", "round_trip")
+
+
 def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -161,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_piece_lattice": op8_piece_lattice,
     "op9_vector_graph": op9_vector_graph,
     "op10_toxicity": op10_toxicity,
 }
