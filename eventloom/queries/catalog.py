@@ -1,6 +1,6 @@
 """All registered queries of the telemetry operators."""
 
-from . import annotate, ingest, scene, sessions, timeseries  # noqa: F401
+from . import annotate, ingest, reports, scene, sessions, streaming, timeseries  # noqa: F401
 from .shapes import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
