@@ -92,6 +92,7 @@ class FingerprintIndex:
         return out
 
     def _marks(self, rows: DataFrame, firsts: DataFrame, known: DataFrame) -> DataFrame:
+        # staged by itself, so that nothing of the verification lies on disk beside the next exchange
         masks = self._verified(firsts, known)
         whole = firsts.where("hi > doc").select("d", F.col("doc").alias("first"), F.lit(None).cast("long").alias("mask"))
         partly = masks.select("d", "first", "mask")
@@ -106,15 +107,13 @@ class FingerprintIndex:
     def _verified(self, firsts: DataFrame, known: DataFrame) -> DataFrame:
         """For runs whose anchor has several digests: which of their windows a smaller document has."""
         several = firsts.groupBy("f").agg(F.count("*").alias("n")).where("n > 1")
-        asked = wanted_by_doc(firsts.join(several, "f", "left_semi"))
+        asked = stage(wanted_by_doc(firsts.join(several, "f", "left_semi")), "asked")
         windows = stage(known.join(asked, ["doc", "tag"]).select("doc", "text", "want").mapInArrow(_single_windows(self.window), "h1 long, h2 long, d long, doc long, off int"), "windows")
         smallest = windows.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-        return (
-            windows.join(smallest, ["h1", "h2"])
-            .where("lo < doc")
-            .groupBy("d", F.col("doc").alias("first"))
-            .agg(F.expr("bit_or(shiftleft(1L, off))").alias("mask"))
-        )
+        masks = windows.join(smallest, ["h1", "h2"]).where("lo < doc").groupBy("d", F.col("doc").alias("first")).agg(F.expr("bit_or(shiftleft(1L, off))").alias("mask"))
+        masks = stage(masks, "masks")
+        discard(asked, windows)
+        return masks
 
 
 def _firsts(rows: DataFrame) -> DataFrame:
