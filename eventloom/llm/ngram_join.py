@@ -164,13 +164,14 @@ def bucket_counts(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
 def possible_links(counts: np.ndarray, label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of different labels that may link by the bound; of pairs that earlier ones connect, none.
 
+    Only emitted pairs connect: the next round knows the nodes that are named, not their labels.
     ``counts``: one row of bucket counts for each set.
     """
     n, size = len(label), counts.sum(axis=1)
-    root = np.unique(label, return_inverse=True)[1]
+    root = np.arange(n)
     out = []
     for i in range(n - 1):
-        others = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        others = np.flatnonzero((root[i + 1 :] != root[i]) & (label[i + 1 :] != label[i])) + i + 1
         if not len(others):
             continue
         most = np.minimum(counts[others], counts[i]).sum(axis=1)

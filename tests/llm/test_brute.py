@@ -8,7 +8,7 @@ import pytest
 
 from eventloom.llm import quality_classifier, toxicity
 from eventloom.llm.components import connected_components
-from eventloom.llm.ngram_join import link_components
+from eventloom.llm.ngram_join import link_components, possible_links
 from eventloom.llm.piece_lattice import DEFAULT_MODEL, LITERAL, MARK, PieceLattice
 from eventloom.llm.quality_rules import binomial_tail
 from eventloom.llm.sharding import find_splitters, shard_documents
@@ -126,6 +126,37 @@ def test_jaccard_components(spark, block_items):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_possible_links_name_every_node_that_may_link():
+    # a and a' have one label; the bound excludes neither a-b nor a'-b
+    counts, label = np.array([[5, 4], [5, 4], [5, 5]], np.int32), np.array([7, 7, 9])
+    assert {i for pair in possible_links(counts, label, 80, 100) for i in pair} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("group_rows", [4096, 8])
+def test_jaccard_components_across_salts(spark, group_rows):
+    rnd, rows = random.Random(12), []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(94)]
+        near = list(base)  # 80 of 100 grams are base's, so it links with base and with no longer copy of it
+        for k in (20, 60):
+            near[k] = f"g{g}x{k}"
+        texts = [base, near, *([*base, f"g{g}y{k}"] for k in range(24))]
+        chain = near
+        for c in range(3):
+            chain = list(chain)
+            for k in (30 + c, 70 + c):
+                chain[k] = f"g{g}c{c}x{k}"
+            texts.append(chain)
+        rows += [" ".join(t) for t in texts]
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(links, sets)
+    got = link_components(spark.createDataFrame(rows, "doc_id long, text string"), size=5, num=80, block_items=300, group_rows=group_rows).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_trie_blocks():
     rng = np.random.default_rng(6)
     for _ in range(40):
