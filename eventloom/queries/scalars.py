@@ -119,6 +119,16 @@ def semi(s):
     return s.player_sessions.select("identity_id").distinct().join(active, "identity_id", "left_semi").agg(F.count("*").alias("n"))
 
 
+@query(
+    "jn10_active_on_day",
+    "select count(*) as n from (select distinct identity_id from player_sessions where identity_id in (select identity_id from player_sessions where joined_us < epoch_us(timestamp '1998-06-02') and coalesce(left_us, epoch_us(timestamp '1998-06-02')) >= epoch_us(timestamp '1998-06-01')))",
+)
+def active_on_day(s):
+    start, end = 896_659_200_000_000, 896_745_600_000_000  # 1998-06-01 and the day after
+    active = s.player_sessions.where((F.col("joined_us") < end) & (F.coalesce("left_us", F.lit(end)) >= start)).select("identity_id")
+    return s.player_sessions.select("identity_id").distinct().join(active, "identity_id", "left_semi").agg(F.count("*").alias("n"))
+
+
 @query("jn12_label_lookup", "select e.event_id, n.n_name as nation from events e join nation n on n.n_nationkey = e.user_id % 25")
 def lookup(s):
     return s.events.withColumn("k", F.col("user_id") % 25).join(s.nation, F.col("k") == F.col("n_nationkey")).select("event_id", F.col("n_name").alias("nation"))

@@ -122,6 +122,18 @@ def episodes(s):
     return sc.assemble_episodes(starts, rows, ["round_id"], "ms", "ms", "sample_id", -3_600_000.0, 1_800_000.0, 10).withColumn("offset_ms", F.col("offset_ms").cast("double"))
 
 
+@query(
+    "jn09_all_episodes",
+    """with e as (select event_id as episode_id, round_id, t_us // 1000 as at_ms from combat_events where event_type = 'player_death'),
+r as (select e.episode_id, sample_id, c.t_us // 1000 - at_ms as offset_ms, row_number() over (partition by e.episode_id order by c.t_us // 1000, sample_id) as nth from e join (select event_id as sample_id, round_id, t_us from combat_events) c on c.round_id = e.round_id and c.t_us // 1000 between at_ms - 3600000 and at_ms + 1800000)
+select episode_id, nth, sample_id, offset_ms::double as offset_ms from r where nth <= 1200""",
+)
+def all_episodes(s):
+    rows = s.combat_events.select(F.col("event_id").alias("sample_id"), "round_id", "event_type", F.floor(F.col("t_us") / 1000).alias("ms"))
+    starts = rows.where("event_type = 'player_death'").select(F.col("sample_id").alias("episode_id"), "round_id", "ms")
+    return sc.assemble_episodes(starts, rows, ["round_id"], "ms", "ms", "sample_id", -3_600_000.0, 1_800_000.0).withColumn("offset_ms", F.col("offset_ms").cast("double"))
+
+
 def _features(s):
     return ts.movement(s.state_samples, ["session_id", "round_id"], "game_ms", "sample_id", 86_400.0, 0.001)
 
