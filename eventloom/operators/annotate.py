@@ -75,22 +75,26 @@ def admit_greedy(requests: DataFrame, shard: str, row_id: str, tokens: str, size
     """Requests of each shard in order of id, skipping those that don't fit.
 
     What fits depends on all before it, so a shard (one queue of one model and day) is one
-    group; its rows are only ids and sizes.
+    sorted run; its rows stream by and only the three sums are kept.
     """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
-        n = t = b = 0
-        admitted = []
-        for tok, byt in zip(pdf[tokens], pdf[size], strict=True):
-            fits = n < count_limit and t + tok <= token_limit and b + byt <= size_limit
-            if fits:
-                n, t, b = n + 1, t + tok, b + byt
-            admitted.append(fits)
-        return pdf.assign(admitted=admitted)
+    def run(batches):
+        shard_now, n, t, b = None, 0, 0, 0
+        for pdf in batches:
+            admitted = []
+            for key, tok, byt in zip(pdf[shard], pdf[tokens], pdf[size], strict=True):
+                key = None if pd.isna(key) else key
+                if key != shard_now:
+                    shard_now, n, t, b = key, 0, 0, 0
+                fits = n < count_limit and t + tok <= token_limit and b + byt <= size_limit
+                if fits:
+                    n, t, b = n + 1, t + tok, b + byt
+                admitted.append(bool(fits))
+            yield pdf.assign(admitted=admitted)
 
     rows = requests.select(shard, row_id, tokens, size)
-    return rows.groupBy(shard).applyInPandas(pack, T.StructType(rows.schema.fields + [T.StructField("admitted", T.BooleanType())]))
+    runs = rows.repartition(shard).sortWithinPartitions(shard, F.asc_nulls_last(row_id))
+    return runs.mapInPandas(run, T.StructType(rows.schema.fields + [T.StructField("admitted", T.BooleanType())]))
 
 
 def pack_messages(messages: DataFrame, shard: str, row_id: str, text: str, max_messages: int = 20, max_bytes: int = 4000) -> DataFrame:
@@ -198,10 +202,12 @@ def validate_annotations(rows: DataFrame, body: str, expected_id: str, keys: lis
 
 
 def exact_cover(answers: DataFrame, expected: DataFrame, request: str, item: str) -> DataFrame:
-    """Per request: whether the answered items are exactly the expected ones."""
-    sets = lambda df, n: df.groupBy(request).agg(F.array_sort(F.collect_set(item)).alias(n))
-    both = sets(expected, "e").join(sets(answers, "a"), request, "left")
-    return both.select(request, F.coalesce(F.col("a") == F.col("e"), F.lit(False)).alias("covers"))
+    """Per expected request: whether the answered items are exactly the expected ones (nulls and repeats don't count)."""
+    side = lambda df, e: df.select(request, item, F.lit(e).alias("_e"), F.lit(not e).alias("_a"))
+    items = side(expected, True).unionByName(side(answers, False)).groupBy(request, item).agg(F.bool_or("_e").alias("_e"), F.bool_or("_a").alias("_a"))
+    same = F.bool_and(F.when(F.col(item).isNotNull(), F.col("_e") == F.col("_a")))
+    both = items.groupBy(request).agg(F.bool_or("_e").alias("_e"), F.bool_or("_a").alias("_a"), same.alias("_same"))
+    return both.where("_e").select(request, (F.col(request).isNotNull() & F.col("_a") & F.coalesce("_same", F.lit(True))).alias("covers"))
 
 
 def import_status(rows: DataFrame, attempts: str = "attempts", most: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,22 +58,47 @@ def chat_windows(stream: DataFrame, width: str = "300 seconds", least_messages:
     return out.select(F.unix_seconds("window.start").alias("start_s"), "messages", "actors", "chars")
 
 
+def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of numbers as disjoint ranges in order, with neighbours joined."""
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    new = np.append(True, lo[1:] > hi[:-1] + 1) if len(lo) else np.zeros(0, bool)
+    return lo[new], hi[np.append(new[1:], True)] if len(lo) else hi
+
+
 def sequence_gaps(stream: DataFrame, source: str = "server", seq: str = "seq") -> DataFrame:
-    """Missing ranges as they appear: per source the highest sequence so far is the state."""
+    """Missing ranges as they appear: per source the highest sequence so far is the state.
+
+    Sequences travel and are kept as ranges without a gap, so a task holds a micro-batch's
+    gaps and not its rows; sequences that come in no order at all have more ranges until they join.
+    """
+
+    def ranges(frames):
+        for f in frames:
+            f = f.dropna(subset=[seq])
+            out = []
+            for key, values in f.groupby(source, dropna=False, sort=False)[seq]:
+                v = values.to_numpy(np.int64)
+                lo, hi = _merged(v, v)
+                out.append(pd.DataFrame({source: None if pd.isna(key) else key, "lo": lo, "hi": hi}))
+            if out:
+                yield pd.concat(out)
 
     def step(key, frames, state):
         last = state.get[0] if state.exists else 0
-        values = sorted(set().union(*(set(f[seq].tolist()) for f in frames)))
+        lo = hi = np.zeros(0, np.int64)
+        for f in frames:
+            lo, hi = _merged(np.append(lo, f["lo"].to_numpy(np.int64)), np.append(hi, f["hi"].to_numpy(np.int64)))
         out = []
-        for v in values:
-            if v > last:
-                if v > last + 1:
-                    out.append((key[0], last + 1, v, v - last - 1))
-                last = v
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            if a > last + 1:
+                out.append((key[0], last + 1, a, a - last - 1))
+            last = max(last, b)
         state.update((last,))
         yield pd.DataFrame(out, columns=[source, "expected", "observed", "missing"])
 
-    return stream.groupBy(source).applyInPandasWithState(step, f"{source} string, expected long, observed long, missing long", "last long", "append", "NoTimeout")
+    runs = stream.select(source, F.col(seq).cast("long").alias(seq)).mapInPandas(ranges, f"{source} string, lo long, hi long")
+    return runs.groupBy(source).applyInPandasWithState(step, f"{source} string, expected long, observed long, missing long", "last long", "append", "NoTimeout")
 
 
 def entity_deltas(stream: DataFrame, key: str = "session_id", time: str = "t_us", row_id: str = "event_id") -> DataFrame:
@@ -119,13 +145,22 @@ def promote_episodes(stream: DataFrame, gap_ms: int = 1000, frames: int = 60, cr
 
 
 def promote_episodes_batch(rows: DataFrame, gap_ms: int = 1000, frames: int = 60, critical: Sequence[str] = CRITICAL) -> DataFrame:
-    """The batch form; which event opens an episode depends on the one before, so a round is one group."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _, _ = _thin(pdf.sort_values(["t_us", "event_id"]), None, [], gap_ms * 1000, frames, critical)
-        return pd.DataFrame([(*key, *o) for o in out], columns=["server", "round_id", "event_id", "t_us", "context"])
-
-    return rows.select("server", "round_id", "event_id", "t_us", "event_type").groupBy("server", "round_id").applyInPandas(run, _EPISODE)
+    """The batch form; which event opens an episode depends on the one before, so a round is one sorted run that streams by."""
+
+    def run(batches):
+        now, last, ring = None, None, []
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby(["server", "round_id"], dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                if key != now:
+                    now, last, ring = key, None, []
+                opened, last, ring = _thin(part, last, ring, gap_ms * 1000, frames, critical)
+                out += [(*key, *o) for o in opened]
+            yield pd.DataFrame(out, columns=["server", "round_id", "event_id", "t_us", "context"])
+
+    runs = rows.select("server", "round_id", "event_id", "t_us", "event_type").repartition("server", "round_id")
+    return runs.sortWithinPartitions("server", "round_id", F.asc_nulls_last("t_us"), F.asc_nulls_last("event_id")).mapInPandas(run, _EPISODE)
 
 
 def fan_out(stream: DataFrame, checkpoint: str, sinks: dict[str, Callable[[DataFrame, int], None]], every: str | None = None) -> StreamingQuery:
