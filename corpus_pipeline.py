@@ -58,7 +58,7 @@ def mix_by_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text, the scores of its three best paths, and whether decoding gives the text."""
+    """Piece ids of each text, its three best paths with their scores, and whether decoding gives the text."""
     return encode_texts(docs, keep_columns=["doc_id", "source"])
 
 

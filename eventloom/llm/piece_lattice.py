@@ -267,8 +267,9 @@ def lattice(model_file: str) -> PieceLattice:
 
 
 def encode_texts(docs: DataFrame, text_col: str = "text", model_file: str = DEFAULT_MODEL, n: int = 3, keep_columns: list[str] | None = None) -> DataFrame:
-    """``keep_columns`` (default: all) with ids (best path), score, nbest_scores and round_trip.
+    """``keep_columns`` (default: all) with ids (best path), score, nbest_ids, nbest_scores and round_trip.
 
+    ``nbest_ids`` has the ids of the ``n`` best paths, best first, as ``nbest_scores`` has their scores.
     ``round_trip`` tells that decoding ids gives the text's bytes.  The vocabulary file must
     be at ``model_file`` on every executor.
     """
@@ -282,6 +283,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", model_file: str = DEFA
         for batch in batches:
             for part in tc.slices(batch, "text"):
                 sizes, ids, scores, nbest, same = [0], [], [], [], []
+                paths, path_sizes, path_counts = [], [0], [0]
                 for text in part.column("text").to_pylist():
                     parts = search.parts(text or "")
                     found = list(map(search.best, parts))
@@ -290,13 +292,20 @@ def encode_texts(docs: DataFrame, text_col: str = "text", model_file: str = DEFA
                     ids.append(mine)
                     sizes.append(sizes[-1] + len(mine))
                     scores.append(total)
-                    nbest.append([total, *(s for s, _ in search.alternatives(parts, found, total, n))])
+                    others = search.alternatives(parts, found, total, n)
+                    nbest.append([total, *(s for s, _ in others)])
+                    paths.append(mine)
+                    paths += [np.frombuffer(b"".join([changed.get(k, f[1]) for k, f in enumerate(found)]), np.int32) for _, changed in others]
+                    path_sizes += [len(p) for p in paths[path_counts[-1] :]]
+                    path_counts.append(len(paths))
                     same.append(search.decode_bytes(mine.tolist()) == (text or "").encode())
                 lists = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column("_row"), lists, pa.array(scores, pa.float64()), pa.array(nbest, pa.list_(pa.float64())), pa.array(same)], names=["_row", "ids", "score", "nbest_scores", "round_trip"])
+                each = pa.ListArray.from_arrays(pa.array(np.cumsum(path_sizes, dtype=np.int32)), pa.array(np.concatenate(paths)))
+                every = pa.ListArray.from_arrays(pa.array(np.array(path_counts, np.int32)), each)
+                yield pa.RecordBatch.from_arrays([part.column("_row"), lists, pa.array(scores, pa.float64()), every, pa.array(nbest, pa.list_(pa.float64())), pa.array(same)], names=["_row", "ids", "score", "nbest_ids", "nbest_scores", "round_trip"])
 
-    schema = rows.select("_row").schema.add("ids", ArrayType(IntegerType())).add("score", "double").add("nbest_scores", ArrayType(DoubleType())).add("round_trip", "boolean")
-    return rows.mapInArrow(run, schema).select("_row.*", "ids", "score", "nbest_scores", "round_trip")
+    schema = rows.select("_row").schema.add("ids", ArrayType(IntegerType())).add("score", "double").add("nbest_ids", ArrayType(ArrayType(IntegerType()))).add("nbest_scores", ArrayType(DoubleType())).add("round_trip", "boolean")
+    return rows.mapInArrow(run, schema).select("_row.*", "ids", "score", "nbest_ids", "nbest_scores", "round_trip")
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "ids", model_file: str = DEFAULT_MODEL) -> DataFrame:

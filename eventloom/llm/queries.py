@@ -145,7 +145,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_texts(table(spark, sf_dir, "documents"), keep_columns=["doc_id"])
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "nbest_scores", "round_trip")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "nbest_ids", "nbest_scores", "round_trip")
 
 
 def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

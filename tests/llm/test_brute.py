@@ -9,7 +9,7 @@ import pytest
 from eventloom.llm import quality_classifier, toxicity
 from eventloom.llm.components import connected_components
 from eventloom.llm.ngram_join import link_components, possible_links
-from eventloom.llm.piece_lattice import DEFAULT_MODEL, LITERAL, MARK, PieceLattice
+from eventloom.llm.piece_lattice import DEFAULT_MODEL, LITERAL, MARK, PieceLattice, encode_texts
 from eventloom.llm.quality_rules import binomial_tail
 from eventloom.llm.sharding import find_splitters, shard_documents
 from eventloom.llm.shingle_trie import block_components
@@ -240,6 +240,15 @@ def test_nbest_paths():
         assert all(lattice.decode(i) == text for _, i in got) and len({tuple(i) for _, i in got}) == len(got)
 
 
+@pytest.mark.skipif(not os.path.exists(DEFAULT_MODEL), reason="no vocabulary here")
+def test_nbest_ids_of_a_table(spark):
+    lattice = PieceLattice(DEFAULT_MODEL)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(13, 12))] + [(100, ""), (101, None), (102, "the ingé ☃"), (103, "x")]
+    for r in encode_texts(spark.createDataFrame(rows, "doc_id long, text string"), n=3).collect():
+        want = lattice.encode(r.text or "", 3)
+        assert r.nbest_ids == [ids for _, ids in want] and r.nbest_scores == [s for s, _ in want] and r.ids == r.nbest_ids[0]
+
+
 def test_graph_recall(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
