@@ -1,29 +1,26 @@
 """N-gram Jaccard self-join by prefix trees, and the components of its links.
 
 Two documents link when their sets of distinct word n-grams have a Jaccard similarity of
-``num / den`` or more.
-
-*Candidates.*  Sets within the length bound fall into the same or neighbouring size
-classes.  For each class the hash range is cut into ``d + 2`` segments, ``d`` being the
-most grams two linked sets of that class can differ in, so two linked sets agree wholly
-on two segments at least.  A signature is the digest of a set's grams in one segment;
-empty segments count only in pairs, so linked sets always share a signature and sets
-that only share frequent grams rarely do.  Sets with equal digests are one node.
-
-*Blocks.*  Nodes that share signatures, directly or by a chain, form a cluster.  Each
-cluster's sets go into a trie (:mod:`.shingle_trie`) in one task, which finds the
-components.
-
-*Large clusters.*  Where a cluster has more than ``block_items`` grams (texts that only
-share a passage chain the corpus together), two rounds take the place of that one.  The
-first clusters nodes that share many signatures with a signature's smallest node.
-Then every signature that still has several components is checked pair by pair with
-a bound: the grams of each set are counted in buckets, and two sets can't share more than
-the sum of the smaller counts.  Pairs that the bound can't exclude form the second round's
-clusters.  A signature with more than ``group_rows`` nodes is not checked but chained.
-A first-round cluster that is still too large is dealt into salted blocks, which all get
-its smallest node; a second-round one is joined block against block, so that every pair
-meets and no task holds more than two blocks.
+``num / den`` or more.  Documents with equal sets are one node.
+
+*Global order.*  Grams are ordered by falling document frequency, ties by hash.  The
+frequencies are counted by one exchange of packed grams by hash range (``gram_rows``).
+A gram of a single node can't be shared, so it only counts in its set's length; the
+others (*live* grams) come back to their nodes in global order.  Grams that hold more than
+``hot_share`` of all occurrences are found in the first pass (any such gram is that frequent
+in some slice of texts) and aren't exchanged by hash, so a very frequent gram fills no task;
+there are at most ``2 / hot_share`` of them.
+
+*Candidates.*  Two sets can only link if they share one of the rarest
+``size - ceil(size * num / den) + 1`` grams of each (prefix filtering, from the
+order's rare end).  Nodes that share such a gram, directly or by a chain, form a cluster.
+
+*Tries.*  Each cluster's sets go into a trie in global order (:mod:`.shingle_trie`), which
+is traversed once per probe with shared overlaps and length bounds.  A cluster of more than
+``block_items`` grams is dealt into pieces, which all get its smallest node.  What a piece
+leaves apart from that node then meets every piece: of two sets not yet connected one at
+least is such a straggler, so no link is lost, and no task holds more than one piece and
+as many stragglers' grams.
 
 Defined results: a null or word-less text has the empty set and links with nothing; null
 ids take part and count as larger than any id; rows that repeat an id are rows like
@@ -44,21 +41,13 @@ from .components import connected_components
 from .shingle_trie import block_components
 from .staging import discard, stage
 from .substring_dedup import LAST_ID, key_columns
-from .suffix_dedup import whole_groups
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 EMPTY = 0x5851F42D4C957F2D
-BUCKETS = 128
-
-
-def size_classes(largest: int, num: int, den: int) -> np.ndarray:
-    """Lower bounds of size classes: sets within the length bound are in one class or in neighbours."""
-    bounds = [1, 2]
-    while bounds[-1] <= largest:
-        bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * den // num + 1))
-    return np.array(bounds)
+#: Frequencies only order grams; larger ones count as this.
+MOST = (1 << 31) - 1
 
 
 def gram_sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,124 +81,127 @@ def gram_sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _digests(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 63-bit digest of each set."""
     c = np.append(_U(0), np.cumsum(tc.mix(grams ^ _U(EMPTY)), dtype=np.uint64))
-    return tc.mix((c[first[1:]] - c[first[:-1]]) + np.diff(first).astype(np.uint64)) >> _U(1)
-
-
-def signatures(grams: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and signatures of all sets (those whose class allows no difference have none)."""
-    size = np.diff(first)
-    bounds = size_classes(int(size.max(initial=1)) * den // num + 2, num, den)
-    own_class = np.searchsorted(bounds, size, "right") - 1
-    widest = 2 * (bounds[1:] - 1) * (den - num) // (den + num)
-    owners, sigs = [], []
-    total = np.append(_U(0), np.cumsum(tc.mix(grams), dtype=np.uint64))
-    for step in (0, 1):
-        level = own_class + step
-        differ = np.where(size > 0, widest[np.minimum(level, len(widest) - 1)], 0)
-        parts = np.where(differ > 0, differ + 2, 0)
-        own = tc.owners(first, len(grams))
-        use = np.flatnonzero(parts[own] > 0)
-        if not len(use):
-            continue
-        segment = ((grams[use] >> _U(32)) * parts[own[use]].astype(np.uint64)) >> _U(32)
-        new = np.ones(len(use), bool)
-        new[1:] = (own[use][1:] != own[use][:-1]) | (segment[1:] != segment[:-1])
-        at = np.flatnonzero(new)
-        begin, end = use[at], np.append(use[at[1:]], use[-1] + 1)
-        who, seg = own[begin], segment[at]
-        # sets are contiguous, so a segment ends where the next one or the set ends
-        end = np.minimum(end, first[who + 1])
-        salt = tc.mix(level[who].astype(np.uint64) * _U(0x2545F4914F6CDD1D) + seg)
-        owners.append(who)
-        sigs.append(tc.mix((total[end] - total[begin]) ^ salt))
-        filled = np.bincount(who, minlength=len(size))
-        for k in np.flatnonzero(parts - filled >= 2):
-            missing = np.setdiff1d(np.arange(parts[k]), seg[who == k].astype(np.int64))
-            i, j = np.triu_indices(len(missing), 1)
-            pair = missing[i].astype(np.uint64) * _U(1 << 20) + missing[j].astype(np.uint64)
-            owners.append(np.full(len(pair), k))
-            sigs.append(tc.mix(pair + tc.mix(np.array([level[k]], np.uint64) + _U(EMPTY))))
-    if not owners:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(owners), np.concatenate(sigs)
-
-
-def _signed(size: int, num: int, den: int):
-    """For mapInArrow over (doc, tag, text): set size, node and signatures of each text."""
+    return (tc.mix((c[first[1:]] - c[first[:-1]]) + np.diff(first).astype(np.uint64)) >> _U(1)).astype(np.int64)
+
 
+def _described(size: int, hot_share: float):
+    """For mapInArrow over (doc, tag, text): set size and node of each text, and the slice's frequent grams in its first row."""
+
+    @tc.tidy
     def run(batches):
         for batch in batches:
             for part in tc.slices(batch, "text"):
                 grams, first = gram_sets(part, size)
-                owners, sigs = signatures(grams, first, num, den)
-                order = np.argsort(owners, kind="stable")
-                at = np.searchsorted(owners[order], np.arange(part.num_rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sigs[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), part.column("tag"), pa.array(np.diff(first)), pa.array(_digests(grams, first).astype(np.int64)), lists, pa.array(bucket_counts(grams, first), pa.binary())],
-                    names=["doc", "tag", "n", "node", "sigs", "counts"],
-                )
+                ordered = np.sort(grams)
+                cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+                count = np.diff(np.append(cut, len(ordered)))
+                often = np.flatnonzero(count >= max(2.0, hot_share * len(ordered)))
+                at = np.full(part.num_rows + 1, len(often), np.int32)
+                at[0] = 0
+                frequent = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (ordered[cut[often]].view(np.int64), count[often])]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), pa.array(np.diff(first)), pa.array(_digests(grams, first)), *frequent], names=["doc", "tag", "n", "node", "often", "times"])
 
     return run
 
 
-def bucket_counts(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """How many grams of each set fall into each of BUCKETS buckets (int32)."""
-    texts = len(first) - 1
-    where = tc.owners(first, len(grams)) * BUCKETS + (grams & _U(BUCKETS - 1)).astype(np.int64)
-    table = np.bincount(where, minlength=texts * BUCKETS).astype(np.int32).reshape(texts, BUCKETS)
-    return [row.tobytes() for row in table]
-
-
-def possible_links(counts: np.ndarray, label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of different labels that may link by the bound; of pairs that earlier ones connect, none.
+def _packed(size: int, buckets: int, hot: np.ndarray, slices: int, k: int):
+    """For mapInArrow over texts: for each bucket of the hash range a slice's grams, and the nodes and sizes they belong to.
 
-    Only emitted pairs connect: the next round knows the nodes that are named, not their labels.
-    ``counts``: one row of bucket counts for each set.
+    Frequent grams are left out of the buckets; bucket -1 has them.
     """
-    n, size = len(label), counts.sum(axis=1)
-    root = np.arange(n)
-    out = []
-    for i in range(n - 1):
-        others = np.flatnonzero((root[i + 1 :] != root[i]) & (label[i + 1 :] != label[i])) + i + 1
-        if not len(others):
-            continue
-        most = np.minimum(counts[others], counts[i]).sum(axis=1)
-        for j in others[most * (num + den) >= num * (size[others] + size[i])]:
-            if root[j] != root[i]:
-                out.append((i, int(j)))
-                root[root == root[j]] = root[i]
-    return out
 
+    @tc.tidy
+    def run(batches):
+        for batch in batches:
+            for part in tc.slices(batch, "text"):
+                grams, first = gram_sets(part, size)
+                node, own = _digests(grams, first), tc.owners(first, len(grams))
+                length = np.diff(first)
+                bucket = ((grams >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+                if len(hot):
+                    bucket[hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams] = -1
+                use = np.flatnonzero(np.where(bucket < 0, k == 0, bucket % slices == k))
+                use = use[np.argsort(bucket[use], kind="stable")]
+                if not len(use):
+                    continue
+                b, g, o = bucket[use], grams[use].view(np.int64), own[use]
+                cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])).astype(np.int32)
+                at = pa.array(np.append(cut, len(b)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (g, node[o], length[o].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(b[cut]), *lists], names=["bucket", "grams", "nodes", "sizes"])
+
+    return run
 
-def _filter_groups(num: int, den: int):
-    """For mapInArrow over (sig, node, label, counts) sorted by sig: the pairs of nodes that may link."""
 
+def whole_groups(batches, key: str, rows: int):
+    """Re-cut batches that come sorted by ``key`` so that no key is split and tables have about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            got = pa.Table.from_batches(held).combine_chunks()
+            keys = got.column(key).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            if cut:
+                yield got.slice(0, cut)
+                got = got.slice(cut)
+            held, count = got.to_batches(), got.num_rows
+            if not cut:
+                count = 0  # one large key so far: wait for as many rows again
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _counted(hot: np.ndarray, times: np.ndarray):
+    """For mapInArrow over packed grams sorted by bucket: (node, gram, n << 32 | frequency) of the live grams."""
+
+    @tc.tidy
     def run(batches):
-        for got in whole_groups(batches, "sig", 2048):
-            sig, node, label = (got.column(k).to_numpy() for k in ("sig", "node", "label"))
-            counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.int32).reshape(-1, BUCKETS)
-            cuts = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
-            us, vs = [], []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                for i, j in possible_links(counts[a:b], label[a:b], num, den):
-                    us.append(node[a + i])
-                    vs.append(node[a + j])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        for got in whole_groups(batches, "bucket", 1):
+            bucket = got.column("bucket").to_numpy()
+            for low in np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])):
+                mine = got.slice(low, int(np.searchsorted(bucket, bucket[low], "right")) - low)
+                gram, node, size = (mine.column(c).combine_chunks().flatten().to_numpy() for c in ("grams", "nodes", "sizes"))
+                if bucket[low] < 0:
+                    count = times[np.searchsorted(hot, gram.view(np.uint64))]
+                else:
+                    order = np.lexsort((node, gram))
+                    gram, node, size = gram[order], node[order], size[order]
+                    new = np.append(True, gram[1:] != gram[:-1])
+                    once = new | np.append(True, node[1:] != node[:-1])
+                    gram, node, size, new = gram[once], node[once], size[once], new[once]
+                    first = np.flatnonzero(new)
+                    of = np.diff(np.append(first, len(gram)))
+                    count = np.repeat(of, of)
+                live = count > 1
+                packed = size[live].astype(np.int64) << 32 | np.minimum(count[live], MOST)
+                yield pa.RecordBatch.from_arrays([pa.array(node[live]), pa.array(gram[live]), pa.array(packed)], names=["node", "gram", "packed"])
 
     return run
 
 
-def _sets(size: int):
-    """For mapInArrow over (block, text): the set and its node."""
+def _prefixed(num: int, den: int):
+    """For mapInArrow over live grams sorted by node and falling frequency: the nodes whose prefix holds a live gram."""
 
+    @tc.tidy
     def run(batches):
-        for batch in batches:
-            for part in tc.slices(batch, "text"):
-                grams, first = gram_sets(part, size)
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("block"), pa.array(_digests(grams, first).astype(np.int64)), lists], names=["block", "node", "grams"])
+        for got in whole_groups(batches, "node", 1 << 17):
+            node, gram, packed = (got.column(c).to_numpy() for c in ("node", "gram", "packed"))
+            once = np.append(True, (node[1:] != node[:-1]) | (gram[1:] != gram[:-1]))  # rows that repeat an id and text
+            node, gram, packed = node[once], gram[once], packed[once]
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            live = np.diff(np.append(first, len(node)))
+            n = packed[first] >> 32
+            prefix = n + (-n * num) // den + 1 - (n - live)
+            keep = prefix > 0
+            inside = np.repeat(keep, live)
+            at = pa.array(np.append(0, np.cumsum(live[keep])).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (gram[inside], (packed[inside] & MOST).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(node[first[keep]]), pa.array(n[keep]), pa.array(prefix[keep].astype(np.int32)), *lists], names=["node", "n", "prefix", "grams", "times"])
 
     return run
 
@@ -217,89 +209,94 @@ def _sets(size: int):
 def _join_blocks(num: int, den: int):
     """For mapInArrow over sets sorted by block: an edge from each set to its component's root in the block."""
 
+    @tc.tidy
     def run(batches):
         for got in whole_groups(batches, "block", 1):
-            block, node = got.column("block").to_numpy(), got.column("node").to_numpy()
+            block, node, n = (got.column(c).to_numpy() for c in ("block", "node", "n"))
             lists = got.column("grams").combine_chunks()
-            offs, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            offs, grams = lists.offsets.to_numpy(), lists.values.to_numpy()
+            times = got.column("times").combine_chunks().values.to_numpy()
             cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
             us, vs = [], []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 rows = a + np.unique(node[a:b], return_index=True)[1]
-                items = np.concatenate([values[offs[r] : offs[r + 1]] for r in rows])
                 at = np.append(0, np.cumsum(offs[rows + 1] - offs[rows]))
-                root = block_components(items, at, num, den)
+                take = np.repeat(offs[rows] - at[:-1], np.diff(at)) + np.arange(at[-1])
+                root = block_components(grams[take], times[take], at, n[rows], num, den)
                 joined = root != np.arange(len(rows))
                 us.append(node[rows][joined])
                 vs.append(node[rows[root[joined]]])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     return run
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_items: int = 4_000_000, group_rows: int = 4096, slices: int = 4) -> DataFrame:
+def live_grams(texts: DataFrame, base: DataFrame, size: int, gram_rows: int, slices: int, hot_share: float) -> list[DataFrame]:
+    """node, gram and n << 32 | frequency of every gram that several nodes have, in staged parts; ``base``: see :func:`_described`."""
+    often = base.select(F.explode(F.arrays_zip("often", "times")).alias("o")).groupBy("o.often").agg(F.sum("o.times").alias("times"))
+    total = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # at most 2 / hot_share sums of counts can reach this
+    found = often.where(F.col("times") >= max(2.0, hot_share * total / 2)).collect()
+    hot = np.array([r.often for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    hot, times = hot[order], np.array([r.times for r in found], np.int64)[order]
+    buckets = max(1, total // gram_rows)
+    of_node = base.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "tag")).alias("k")).select("k.*")
+    once = texts.join(of_node.hint("merge"), ["doc", "tag"], "left_semi").select("text")
+    parts = []
+    for k in range(slices):
+        packed = once.mapInArrow(_packed(size, buckets, hot, slices, k), "bucket long, grams array<long>, nodes array<long>, sizes array<int>")
+        deal = F.when(F.col("bucket") < 0, F.xxhash64("grams")).otherwise(F.col("bucket"))
+        live = packed.repartition(deal).sortWithinPartitions("bucket").mapInArrow(_counted(hot, times), "node long, gram long, packed long")
+        parts.append(stage(live, "live"))
+    return parts
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_items: int = 1 << 20, gram_rows: int = 1 << 19, slices: int = 3, hot_share: float = 1e-5) -> DataFrame:
     """One row per document: id, n_shingles and component_id (the smallest id reachable by links)."""
     if not 0 < num < den or size < 1:
         raise ValueError("0 < num < den and size >= 1")
-    texts = docs.select(F.col(id_col).alias("id"), *key_columns(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    base = stage(texts.select("doc", "tag", "text").mapInArrow(_signed(size, num, den), "doc long, tag int, n long, node long, sigs array<long>, counts binary"), "signed")
-    signed = base.select("node", F.size("sigs").alias("of"), F.explode("sigs").alias("sig"))
-    # one row for each node and signature that several nodes have, found slice by slice of the
-    # signatures, so that only one slice's exchanges lie on disk at a time
-    parts = []
-    for k in range(slices):
-        some = signed.where(F.pmod("sig", F.lit(slices)) == k)
-        live = some.groupBy("sig").agg(F.min("node").alias("v"), F.max("node").alias("hi")).where("v < hi").select("sig", "v")
-        parts.append(stage(some.join(live, "sig").select("sig", "node", "of", "v").distinct(), "lively"))
-    lively = functools.reduce(DataFrame.unionByName, parts)
-    edges = stage(lively.where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("shared"), F.max("of").alias("of")), "shared")
-
-    of_node = base.groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
-    keys = base.join(of_node.select("node", "doc"), ["node", "doc"]).groupBy("node", "doc", "n").agg(F.min("tag").alias("tag"))
-
-    def clusters_of(pairs: DataFrame) -> DataFrame:
-        found = stage(connected_components(pairs.select("u", "v")).withColumnRenamed("component", "cluster").join(keys, "node"), "clusters")
-        items = found.groupBy("cluster").agg(F.sum("n").alias("items"))
-        return found.join(items, "cluster").withColumn("salts", F.ceil(F.col("items") / block_items).cast("int"))
-
-    def joined(members: DataFrame) -> DataFrame:
-        sets = texts.select("doc", "tag", "text").join(members.select("doc", "tag", "block").hint("merge"), ["doc", "tag"]).select("block", "text")
-        sets = sets.mapInArrow(_sets(size), "block long, node long, grams array<long>")
-        return stage(sets.repartition("block").sortWithinPartitions("block").mapInArrow(_join_blocks(num, den), "u long, v long"), "links")
-
-    salt = F.pmod(F.xxhash64("node"), F.col("salts"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)
-
-    def salted(clusters: DataFrame) -> DataFrame:
-        salts = F.when(F.col("node") == F.col("cluster"), every).otherwise(F.array(salt))
-        return clusters.withColumn("salt", F.explode(salts)).withColumn("block", F.xxhash64("cluster", "salt"))
-
-    clusters = clusters_of(edges)
-    if not clusters.where("salts > 1").limit(1).count():
-        labels = joined(salted(clusters)).select(F.col("u").alias("node"), F.col("v").alias("component"))
-    else:
-        # a set has the signatures of two classes; linked sets at 0.8 share a third of one class's on average
-        first = joined(salted(clusters_of(edges.where("shared * 14 >= of"))))
-        labels = stage(connected_components(first), "labels")
-        apart = stage(lively.join(labels, "node", "left").select("node", "sig", F.coalesce("component", "node").alias("label")), "labelled")
-        discard(*parts)
-        open_sigs = apart.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("v"), F.count("*").alias("rows")).where("lo < hi")
-        rest = stage(apart.join(open_sigs.select("sig", "v", "rows"), "sig"), "apart")
-        discard(apart)
-        counts = base.groupBy("node").agg(F.first("counts").alias("counts"))
-        checked = rest.where(F.col("rows") <= group_rows).join(counts, "node").select("sig", "node", "label", "counts")
-        pairs = checked.repartition("sig").sortWithinPartitions("sig").mapInArrow(_filter_groups(num, den), "u long, v long").distinct()
-        chained = rest.where(F.col("rows") > group_rows).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-        again = clusters_of(stage(pairs.unionByName(chained), "pairs"))
-        blocks = again.withColumn("salt", salt).withColumn("other", F.explode(every)).withColumn("block", F.xxhash64("cluster", F.least("salt", "other"), F.greatest("salt", "other")))
-        labels = stage(connected_components(first.unionByName(joined(blocks))), "labels")
-
-    rows = base.select("doc", "tag", "n", "node").join(labels, "node", "left")
+    texts = docs.select(*key_columns(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    base = stage(texts.mapInArrow(_described(size, hot_share), "doc long, tag long, n long, node long, often array<long>, times array<long>"), "described")
+    parts = live_grams(texts, base, size, gram_rows, slices, hot_share)
+    live = functools.reduce(DataFrame.unionByName, parts)
+    falling = F.col("packed").bitwiseAND(MOST).desc()
+    sets = live.repartition("node").sortWithinPartitions("node", falling, "gram").mapInArrow(_prefixed(num, den), "node long, n long, prefix int, grams array<long>, times array<int>")
+    sets = stage(sets, "sets")
+    discard(*parts)
+
+    rare = sets.select("node", F.explode(F.expr("slice(grams, -prefix, prefix)")).alias("gram"))
+    first = rare.groupBy("gram").agg(F.min("node").alias("v"), F.max("node").alias("hi")).where("v < hi").select("gram", "v")
+    edges = rare.join(first, "gram").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    found = connected_components(edges).withColumnRenamed("component", "cluster")
+    items = F.size("grams").cast("long")
+    members = stage(found.join(sets, "node").withColumn("items", items), "members")
+    per = members.groupBy("cluster").agg(F.ceil(F.sum("items") / block_items).cast("int").alias("pieces"))
+    members = members.join(per, "cluster").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+
+    def joined(rows: DataFrame) -> DataFrame:
+        rows = rows.select("block", "node", "n", "grams", "times").repartition("block").sortWithinPartitions("block")
+        return stage(rows.mapInArrow(_join_blocks(num, den), "u long, v long"), "links")
+
+    every = F.sequence(F.lit(0), F.col("pieces") - 1)
+    dealt = members.withColumn("piece", F.explode(F.when(F.col("node") == F.col("cluster"), every).otherwise(F.array("piece"))))
+    links = joined(dealt.withColumn("block", F.xxhash64("cluster", "piece")))
+    if members.where("pieces > 1").limit(1).count():
+        label = stage(connected_components(links), "labels")
+        apart = members.where("pieces > 1").join(label, "node", "left").where(F.coalesce("component", "node") != F.col("cluster"))
+        groups = apart.groupBy("cluster").agg(F.ceil(F.sum("items") / block_items).cast("int").alias("groups"))
+        group = F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")
+        asking = apart.join(groups, "cluster").withColumn("group", group).withColumn("piece", F.explode(every))
+        asked = members.join(groups, "cluster").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        both = [t.withColumn("block", F.xxhash64("cluster", "piece", "group")) for t in (asking.select(asked.columns), asked)]
+        links = links.unionByName(joined(both[0].unionByName(both[1])))
+    labels = connected_components(links)
+
+    rows = base.select("doc", "n", "node").join(labels, "node", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "node"))
     rows = stage(rows.select("doc", "n", own.alias("component")), "rows")
+    discard(base, sets)
     smallest = rows.groupBy("component").agg(F.min("doc").alias("least"))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     out = rows.join(smallest, "component", "left").select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("least").alias("least"), "doc")
-    discard(base)
     return out.select(id_col, "n_shingles", F.coalesce("least", F.col(id_col)).alias("component_id"))

@@ -37,7 +37,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def key_columns(id_col: str, text_col: str) -> list[Column]:
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.hash(F.col(text_col).cast("string")).alias("tag")]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("tag")]
 
 
 def wanted_by_doc(reps: DataFrame, *more: str) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from . import textcodes as tc
+from .ngram_join import whole_groups
 from .staging import discard, stage
 from .substring_dedup import key_columns, keyed, wanted_by_doc
 
@@ -102,29 +103,6 @@ def _contexts(window: int):
     return run
 
 
-def whole_groups(batches, key: str, rows: int):
-    """Re-cut batches that come sorted by ``key`` so that no key is split and tables have about ``rows`` rows."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        count += batch.num_rows
-        if count >= rows:
-            got = pa.Table.from_batches(held).combine_chunks()
-            keys = got.column(key).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1], "left"))
-            if cut:
-                yield got.slice(0, cut)
-                got = got.slice(cut)
-            held, count = got.to_batches(), got.num_rows
-            if not cut:
-                count = 0  # one large key so far: wait for as many rows again
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _blocks(window: int):
     """For mapInArrow over contexts sorted by anchor: d and the starts of its shared windows."""
 

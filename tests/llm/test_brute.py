@@ -8,7 +8,7 @@ import pytest
 
 from eventloom.llm import quality_classifier, toxicity
 from eventloom.llm.components import connected_components
-from eventloom.llm.ngram_join import link_components, possible_links
+from eventloom.llm.ngram_join import link_components
 from eventloom.llm.piece_lattice import DEFAULT_MODEL, LITERAL, MARK, PieceLattice, encode_texts
 from eventloom.llm.quality_rules import binomial_tail
 from eventloom.llm.sharding import find_splitters, shard_documents
@@ -105,36 +105,19 @@ def test_index_compaction_changes_nothing(spark):
     assert marks[0] == marks[1]
 
 
-@pytest.mark.parametrize("block_items", [4_000_000, 500])
-def test_jaccard_components(spark, block_items):
-    rnd = random.Random(5)
-    rows = []
-    for _ in range(8):
-        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([4, 30, 80]))]
-        for _ in range(rnd.choice([1, 4, 20])):
-            w = list(base)
-            for _ in range(rnd.choice([0, 1, 1, 2])):
-                w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
-            rows.append((len(rows), " ".join(w)))
+def shingle_components(rows, size, num):
     sets = {}
     for i, t in rows:
-        w = t.split()
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
-    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
-    want = components(links, sets)
-    got = link_components(spark.createDataFrame(rows, "doc_id long, text string"), block_items=block_items).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
-
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    label = components(links, sets)
+    return {i: (len(sets[i]), label[i]) for i in sets}
 
-def test_possible_links_name_every_node_that_may_link():
-    # a and a' have one label; the bound excludes neither a-b nor a'-b
-    counts, label = np.array([[5, 4], [5, 4], [5, 5]], np.int32), np.array([7, 7, 9])
-    assert {i for pair in possible_links(counts, label, 80, 100) for i in pair} == {0, 1, 2}
 
-
-@pytest.mark.parametrize("group_rows", [4096, 8])
-def test_jaccard_components_across_salts(spark, group_rows):
-    rnd, rows = random.Random(12), []
+def chained_texts(rnd):
+    """Groups of near copies whose members link only to few others, at similarities around 0.8, and texts that share a passage."""
+    rows = []
     for g in range(12):
         base = [f"g{g}w{k}" for k in range(94)]
         near = list(base)  # 80 of 100 grams are base's, so it links with base and with no longer copy of it
@@ -147,14 +130,32 @@ def test_jaccard_components_across_salts(spark, group_rows):
             for k in (30 + c, 70 + c):
                 chain[k] = f"g{g}c{c}x{k}"
             texts.append(chain)
+        texts += [[*(f"g{g}z{k}v{rnd.randrange(10**6)}" for k in range(20)), *(f"common{k}" for k in range(60))]]
         rows += [" ".join(t) for t in texts]
+    rows += [" ".join(f"common{k}" for k in range(m)) for m in (1, 2, 4, 40, 50, 60)]
     rnd.shuffle(rows)
-    rows = list(enumerate(rows))
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
-    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    want = components(links, sets)
-    got = link_components(spark.createDataFrame(rows, "doc_id long, text string"), size=5, num=80, block_items=300, group_rows=group_rows).collect()
-    assert {r.doc_id: r.component_id for r in got} == want
+    return list(enumerate(rows))
+
+
+def near_texts(rnd):
+    rows = [(0, ""), (1, None), (2, "One Two"), (3, "one two"), (4, "one"), (5, "one"), (6, "one two three")]
+    for _ in range(10):
+        base = [f"w{rnd.randrange(300)}" for _ in range(rnd.choice([4, 30, 80]))]
+        for _ in range(rnd.choice([1, 4, 20])):
+            w = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2])):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("size,num", [(5, 80), (3, 90)])
+@pytest.mark.parametrize("more", [{}, {"block_items": 300, "gram_rows": 200, "slices": 2}, {"block_items": 900, "gram_rows": 50, "hot_share": 2e-3}])
+def test_jaccard_components(spark, size, num, more):
+    rnd = random.Random(12)
+    rows = chained_texts(rnd) + [(1000 + i, t) for i, t in near_texts(rnd)]
+    got = link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=size, num=num, **more).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == shingle_components(rows, size, num)
 
 
 def test_trie_blocks():
@@ -163,8 +164,10 @@ def test_trie_blocks():
         base = rng.integers(0, 80, rng.integers(1, 40))
         sets = {frozenset(np.append(base[rng.random(len(base)) < 0.95], rng.integers(0, 900, rng.integers(1, 3))).tolist()) for _ in range(12)}
         sets = sorted(map(sorted, sets))
-        items = np.concatenate([np.array(s, np.uint64) for s in sets])
-        got = block_components(items, np.append(0, np.cumsum([len(s) for s in sets])), 80, 100)
+        times = np.bincount(np.concatenate(sets))
+        items = [np.array([x for x in s if times[x] > 1], np.int64) for s in sets]
+        flat = np.concatenate(items)
+        got = block_components(flat, times[flat], np.append(0, np.cumsum(list(map(len, items)))), np.array(list(map(len, sets))), 80, 100)
         links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))]
         want = components(links, range(len(sets)))
         groups = lambda lab: sorted(sorted(i for i in range(len(sets)) if lab[i] == g) for g in {lab[i] for i in range(len(sets))})
