@@ -5,13 +5,15 @@ bytes).  The anchor of a window is the leftmost smallest hash of the ``gram``-it
 grams in it (winnowing), so equal windows have equal anchors at equal offsets.
 Consecutive windows with one anchor form a *run*:
 
-* ``f``   hash of the anchor gram,
-* ``d``   digest of all items that the run's windows cover (and of its length),
-* ``pos`` first window's start and ``cnt`` the number of windows.
-
-Two runs with one digest hold the same windows, so most repeats are settled by one
-row for several windows.  Only where an anchor has several digests do single
-windows have to be compared, and then only windows of one anchor.
+* ``f``    hash of the anchor gram,
+* ``d``    digest of all items that the run's windows cover (and of its length),
+* ``at``   first window's start and, in the lower half, the number of windows (byte runs:
+  the anchor's offset in the upper 16 bits of that half),
+* ``hs``   (rows of the word index) a hash of each window, independent of ``f``.
+
+Runs with one ``f`` and ``d`` hold the same windows, so most repeats are settled by one
+row for several windows.  Long texts are cut into pieces; a run that a piece's
+border cuts in two is two runs, whose windows are then compared one by one.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ import pyarrow as pa
 
 from . import textcodes as tc
 
-RUN_SCHEMA = "f long, d long, doc long, at long, cnt int"
-#: ``cnt`` of byte runs holds the anchor's offset from the run's start in its upper half.
+RUN_SCHEMA = "f long, d long, doc long, tag long, at long"
+INDEX_SCHEMA = "f long, d long, doc long, hi long, hs array<long>"
 ANCHOR_SHIFT = 16
+PIECE_WORDS = 1 << 17
+PIECE_BYTES = 1 << 19
 
 
 def runs_of(grams: np.ndarray, prefix: np.ndarray, down: np.ndarray, ok: np.ndarray, window: int, gram: int):
-    """Starts, counts, anchors' indices and digests of all runs of one slice."""
+    """Starts, counts, anchors' indices and digests of all runs of one piece; ``ok`` marks the windows' starts."""
     starts = np.flatnonzero(ok)
     if not len(starts):
         z = np.zeros(0, np.int64)
@@ -50,20 +54,50 @@ def prefix_sums(items: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return c, down
 
 
-def word_runs(window: int, gram: int):
-    """For mapInArrow over (doc, tag, text): a row for each run of word windows."""
+def pieces(first: np.ndarray, count: int, limit: int, window: int):
+    """(low, high, bounds of texts): one piece for a usual slice, overlapping pieces of a slice that is one long text."""
+    if count <= 2 * limit:
+        if count >= window:
+            yield 0, count, first
+        return
+    for low in range(0, count - window + 1, limit):
+        high = min(count, low + limit + window - 1)
+        yield low, high, np.array([0, high - low])
+
+
+def word_runs(window: int, gram: int, windows: bool = False):
+    """For mapInArrow over (doc, tag, text): a row for each run of word windows.
 
+    Anchors and digests come from independent hashes of the words.  With ``windows`` the
+    rows have ``hs``, and of a slice's equal runs the one of the smallest document is enough.
+    """
+
+    @tc.tidy
     def run(batches):
         for batch in batches:
             for part in tc.slices(batch, "text"):
                 buf, offs = tc.text_buffers(part.column("text"))
                 a, e, first = tc.word_bounds(buf, offs)
-                if len(a) < window:
-                    continue
-                words = tc.span_hashes(buf, a, e)
-                prefix, down = prefix_sums(words, tc.BASE_WORD)
-                at, count, anchor, digest = runs_of(tc.gram_hashes(words, gram), prefix, down, tc.inside(first, len(a), window), window, gram)
-                yield _rows(part, tc.owners(first, len(a))[at], at, first, count, tc.gram_hashes(words, gram)[anchor], digest)
+                words, others = tc.span_hashes(buf, a, e), tc.span_hashes(buf, a, e, True)
+                for low, high, bounds in pieces(first, len(a), PIECE_WORDS, window):
+                    prefix, down = prefix_sums(others[low:high], tc.BASE_WORD2)
+                    grams, ok = tc.gram_hashes(words[low:high], gram), tc.inside(bounds, high - low, window)
+                    at, count, anchor, digest = runs_of(grams, prefix, down, ok, window, gram)
+                    own = tc.owners(bounds, high - low)[at]
+                    columns, names = _columns(part, own, at - bounds[own] + low, count, grams[anchor], digest)
+                    if not windows:
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+                        continue
+                    f, d, doc = (c.to_numpy() for c in columns[:3])
+                    order = np.lexsort((doc, d, f))
+                    new = np.flatnonzero(np.append(True, (f[order][1:] != f[order][:-1]) | (d[order][1:] != d[order][:-1]))) if len(f) else order
+                    hi = doc[order][np.append(new[1:], len(order)) - 1] if len(f) else doc
+                    use = order[new]
+                    values = tc.gram_hashes(others[low:high], window, True)[np.flatnonzero(ok)]
+                    begin = np.cumsum(count) - count
+                    taken, ends = tc.gather(values, begin[use], count[use])
+                    hs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(taken.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(f[use]), pa.array(d[use]), pa.array(doc[use]), pa.array(hi), hs], names=["f", "d", "doc", "hi", "hs"])
 
     return run
 
@@ -71,23 +105,22 @@ def word_runs(window: int, gram: int):
 def byte_runs(window: int, gram: int):
     """For mapInArrow over (doc, tag, text): a row for each run of byte windows."""
 
+    @tc.tidy
     def run(batches):
         for batch in batches:
-            for part in tc.slices(batch, "text"):
+            for part in tc.slices(batch, "text", PIECE_BYTES):
                 buf, offs = tc.text_buffers(part.column("text"))
-                if len(buf) < window:
-                    continue
-                codes = tc._TABLE[buf]
-                prefix, down = prefix_sums(codes, tc.BASE_BYTE)
-                grams = tc.mix((prefix[gram:] - prefix[:-gram]) * down[: len(buf) - gram + 1])
-                at, count, anchor, digest = runs_of(grams, prefix, down, tc.inside(offs, len(buf), window), window, gram)
-                yield _rows(part, tc.owners(offs, len(buf))[at], at, offs, count | (anchor - at) << ANCHOR_SHIFT, grams[anchor], digest)
+                for low, high, bounds in pieces(offs, len(buf), PIECE_BYTES, window):
+                    prefix, down = prefix_sums(tc._TABLE[buf[low:high]], tc.BASE_BYTE)
+                    grams = tc.mix((prefix[gram:] - prefix[:-gram]) * down[: high - low - gram + 1])
+                    at, count, anchor, digest = runs_of(grams, prefix, down, tc.inside(bounds, high - low, window), window, gram)
+                    own = tc.owners(bounds, high - low)[at]
+                    columns, names = _columns(part, own, at - bounds[own] + low, count | (anchor - at) << ANCHOR_SHIFT, grams[anchor], digest)
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _rows(part: pa.RecordBatch, own, at, first, count, f, d) -> pa.RecordBatch:
-    doc = part.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
-    tag = part.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
-    place = (tag[own] << 32) | (at - first[own])
-    return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(d.view(np.int64)), pa.array(doc[own]), pa.array(place), pa.array(count.astype(np.int32))], names=["f", "d", "doc", "at", "cnt"])
+def _columns(part: pa.RecordBatch, own, pos, count, f, d) -> tuple[list[pa.Array], list[str]]:
+    doc, tag = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[own] for c in ("doc", "tag"))
+    return [pa.array(x) for x in (f.view(np.int64), d.view(np.int64), doc, tag, pos << 32 | count)], ["f", "d", "doc", "tag", "at"]

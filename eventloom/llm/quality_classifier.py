@@ -80,6 +80,7 @@ def statistics(part: pa.RecordBatch) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+@tc.tidy
 def _describe(batches):
     for batch in batches:
         for part in tc.slices(batch, "text"):
@@ -152,6 +153,7 @@ def train(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
     if not all(classes.get((False, y)) for y in (0, 1)):
         return model
 
+    @tc.tidy
     def normal(batches):
         a, b = np.zeros((features + 1, features + 1)), np.zeros(features + 1)
         for batch in batches:
@@ -171,6 +173,7 @@ def train(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
             a[r.i, r.j] = a[r.j, r.i] = r.v
     model.weights = np.linalg.solve(a + ridge * np.eye(features + 1) * max(1.0, a[-1, -1] / 1000), b)
 
+    @tc.tidy
     def binned(batches):
         for batch in batches:
             raw = model.raw(matrix(batch.column("x"))) if batch.num_rows else np.zeros(0)
@@ -185,6 +188,7 @@ def train(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
 def score(described: DataFrame, model: FourierRidge) -> DataFrame:
     """id and score of every described row."""
 
+    @tc.tidy
     def run(batches):
         for batch in batches:
             s = model.scores(matrix(batch.column("x"))) if batch.num_rows else np.zeros(0)

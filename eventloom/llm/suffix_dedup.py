@@ -3,21 +3,24 @@
 A byte goes if some ``window``-byte string that covers it also starts anywhere
 else in the corpus, in the same text or another one.
 
-1. Every text is cut into anchored runs of windows (:mod:`.anchors`).  Runs with
-   one digest are exact repeats of each other and settle most repeats by counting.
-2. An anchor with several digests makes an index block: the byte contexts of its
-   runs, aligned at the anchor (equal windows have equal anchors at equal offsets,
-   so only aligned suffixes can share a window).  The block's suffix order is built
-   column by column from the right, which yields the Burrows-Wheeler transform of
-   each column as its symbols in the order of the column after it.  Only the ends
-   of its equal-letter runs are sampled by comparing bytes; within a run the common
-   prefix of two neighbours just grows by one as the column is streamed leftwards.
-   These matching statistics mark the windows that another context shares.
-3. The marked bytes are cut out of the texts in one more pass.
-
-Blocks hold many anchors at a time; an anchor with more than ``hot_rows`` different
-contexts is not gathered into one task: its windows are hashed (128 bits) and
-counted by Spark instead, which is exact as well.
+1. Every text is cut into anchored runs of windows (:mod:`.anchors`).  Equal windows have
+   equal anchors at equal offsets, so only runs of one anchor can share a window.
+2. Of every anchor that occurs twice or more, each different run is fetched once as bytes
+   (its *context*), and a second time if it occurs more often: from its first and its last
+   place, so that the index sees two texts.  Digests only say what to fetch.
+3. An anchor's contexts, aligned at the anchor, go into one block's index
+   (:class:`RunLengthIndex`): the Burrows-Wheeler transform of each column, stored as its
+   equal-letter runs with the common prefix sampled where a run starts behind the end of
+   another.  Streaming the columns leftwards moves whole runs and gives every context's
+   matching statistics, which mark the windows that another context shares.
+4. The marked windows' bytes are cut out of the texts in one more pass.
+
+A block holds many anchors.  An anchor with more than ``block_rows`` contexts is split by
+the bytes that its windows have in common: windows are classed by the anchor's offset in
+them, in ranges of 16 offsets, and the bytes that all windows of a range cover are part of the
+key.  Keys that are still too large are split by the whole window; what is equal there is
+dealt into pieces that all get one of the contexts.  So every window meets another that
+equals it, and no task holds an unbounded group.
 
 Defined results: a null text is empty; null ids and rows that repeat an id are
 documents of their own (equal texts remove each other); an empty table gives an
@@ -26,66 +29,107 @@ empty result.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors
 from . import textcodes as tc
 from .ngram_join import whole_groups
 from .staging import discard, stage
-from .substring_dedup import key_columns, keyed, wanted_by_doc
+from .substring_dedup import key_columns, keyed
 
-BLOCK_ROWS = 8192
 NO_BYTE = 256
+#: Offsets per class when a frequent anchor is split; 1 is the window itself.
+CLASSES = (16, 1)
+
+
+@dataclass
+class RunLengthIndex:
+    """Aligned contexts as run-compressed transforms, one for each column, from the right.
+
+    ``starts``: where runs of equal (group, letter) start in the order of the column to the
+    right; ``move``: the runs in this column's order; ``sample``: the common prefix of a run's
+    first context with the last one of the run before it, -1 for runs past a context's end.
+    """
+
+    rows: int
+    starts: list[np.ndarray]
+    move: list[np.ndarray]
+    sample: list[np.ndarray]
+
+    @classmethod
+    def build(cls, group: np.ndarray, grid: np.ndarray) -> RunLengthIndex:
+        """``group`` ascends; ``grid`` has a context in each row, NO_BYTE around it."""
+        n, width = grid.shape
+        index = cls(n, [], [], [])
+        code = np.cumsum(np.append(0, group[1:] != group[:-1])) * (NO_BYTE + 1)
+        order = np.arange(n)
+        for column in range(width - 1, -1, -1):
+            key = code[order] + grid[order, column]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            move = np.argsort(key[start], kind="stable")
+            key, (take, head) = key[start][move], _moved(start, move, n)
+            order = order[take]
+            blank = key % (NO_BYTE + 1) == NO_BYTE
+            sample = np.where(blank, -1, 0).astype(np.int32)
+            ends = np.flatnonzero(np.append(False, key[1:] == key[:-1]) & ~blank)
+            if len(ends):
+                a, b = grid[order[head[ends]], column:], grid[order[head[ends] - 1], column:]
+                differ = (a != b) | (a == NO_BYTE)
+                sample[ends] = np.where(differ.any(axis=1), differ.argmax(axis=1), width - column)
+            index.starts.append(start.astype(np.int32))
+            index.move.append(move.astype(np.int32))
+            index.sample.append(sample)
+        return index
+
+    def statistics(self):
+        """For each column, from the right: contexts in its order and the longest prefix each shares with a neighbour."""
+        order, common = np.arange(self.rows), np.zeros(self.rows, np.int32)
+        for start, move, sample in zip(self.starts, self.move, self.sample, strict=True):
+            take, head = _moved(start, move, self.rows)
+            order, common = order[take], common[take] + 1
+            common[head] = sample
+            if (sample < 0).any():
+                common[np.repeat(sample < 0, np.diff(np.append(head, self.rows)))] = 0
+            yield order, np.maximum(common, np.append(common[1:], 0))
 
 
-def shared_windows(group: np.ndarray, data: np.ndarray, lengths: np.ndarray, left: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _moved(start: np.ndarray, move: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all rows when runs move as a whole, and where each run starts then."""
+    size = np.diff(np.append(start, n))[move]
+    head = np.cumsum(size) - size
+    return np.repeat(start[move] - head, size) + np.arange(n), head
+
+
+def shared_windows(group: np.ndarray, data: np.ndarray, lengths: np.ndarray, left: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which windows of aligned contexts some other context of the same group shares.
 
     ``group`` ascends, ``data`` has all contexts' bytes, ``left`` the bytes before the
-    anchor.  Returns rows and window starts (from the context's first byte).
+    anchor.  Returns rows, first window starts and numbers of consecutive windows.
     """
     n, pad = len(group), int(left.max())
     width = pad + int((lengths - left).max())
     grid = np.full((n, width), NO_BYTE, np.uint16)
     begin = np.arange(n) * width + pad - left
     grid.ravel()[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(data))] = data
-    code = (np.cumsum(np.append(0, group[1:] != group[:-1])) * (NO_BYTE + 1)).astype(np.int64)
-    order, common = np.arange(n), np.zeros(n, np.int32)
-    rows, starts = [], []
-    for column in range(width - 1, -1, -1):
-        symbols = grid[order, column]  # the transform of the column to the right
-        key = code[order] + symbols
-        turn = np.argsort(key, kind="stable")
-        symbols, key, order = symbols[turn], key[turn], order[turn]
-        equal = np.zeros(n, bool)
-        equal[1:] = (key[1:] == key[:-1]) & (symbols[1:] < NO_BYTE)
-        in_run = equal.copy()
-        in_run[1:] &= turn[1:] == turn[:-1] + 1
-        grown = np.where(in_run, common[turn] + 1, 0)
-        ends = np.flatnonzero(equal & ~in_run)  # neighbours from two runs: sample
-        if len(ends):
-            a, b = grid[order[ends], column:], grid[order[ends - 1], column:]
-            differ = (a != b) | (a == NO_BYTE)
-            grown[ends] = np.where(differ.any(axis=1), differ.argmax(axis=1), width - column)
-        common = grown
-        longest = np.maximum(common, np.append(common[1:], 0))
+    shared = np.zeros((n, int(lengths.max()) - window + 3), bool)  # a column that stays false on either side
+    for k, (order, longest) in enumerate(RunLengthIndex.build(group, grid).statistics()):
         hit = order[longest >= window]
-        if len(hit):
-            rows.append(hit)
-            starts.append(column - pad + left[hit])
-    if not rows:
-        z = np.zeros(0, np.int64)
-        return z, z
-    return np.concatenate(rows), np.concatenate(starts)
+        shared[hit, width - k - pad + left[hit]] = True
+    rows, first = np.nonzero(shared[:, 1:] & ~shared[:, :-1])
+    _, last = np.nonzero(shared[:, :-1] & ~shared[:, 1:])
+    return rows, first, last - first
 
 
 def _contexts(window: int):
     """For mapInArrow over texts with the runs asked of them: one row for each run's bytes."""
 
+    @tc.tidy
     def run(batches):
         for batch in batches:
             for part in tc.slices(batch, "text"):
@@ -93,51 +137,63 @@ def _contexts(window: int):
                 want = part.column("want")
                 own = np.repeat(np.arange(len(want)), np.diff(want.offsets.to_numpy()))
                 flat = want.flatten()
-                f, d, pos, packed = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("f", "d", "pos", "cnt"))
-                length = (packed & ((1 << anchors.ANCHOR_SHIFT) - 1)) + window - 1
-                total = np.append(0, np.cumsum(length))
-                data = buf[np.repeat(offs[own] + pos - total[:-1], length) + np.arange(total[-1])]
-                context = pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(total.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(d), pa.array((packed >> anchors.ANCHOR_SHIFT).astype(np.int32)), context], names=["f", "d", "left", "context"])
+                f, d, at = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("f", "d", "at"))
+                low = at & 0xFFFFFFFF
+                count, left = low & ((1 << anchors.ANCHOR_SHIFT) - 1), low >> anchors.ANCHOR_SHIFT
+                for i in range(0, len(f), 4096):
+                    some = slice(i, i + 4096)
+                    data, total = tc.gather(buf, offs[own[some]] + (at[some] >> 32), count[some] + window - 1)
+                    context = pa.Array.from_buffers(pa.binary(), len(f[some]), [None, pa.py_buffer(total.astype(np.int32)), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([pa.array(f[some]), pa.array(d[some]), pa.array(left[some].astype(np.int32)), context], names=["f", "d", "left", "context"])
 
     return run
 
 
-def _blocks(window: int):
-    """For mapInArrow over contexts sorted by anchor: d and the starts of its shared windows."""
+def _blocks(window: int, rows: int):
+    """For mapInArrow over contexts sorted by key: f, d and the ranges of their shared windows."""
 
+    @tc.tidy
     def run(batches):
-        for got in whole_groups(batches, "f", BLOCK_ROWS):
-            d = got.column("d").to_numpy()
+        for got in whole_groups(batches, "key", rows):
+            f, d, base = (got.column(k).to_numpy() for k in ("f", "d", "base"))
             context = got.column("context").combine_chunks()
             offs = np.frombuffer(context.buffers()[1], np.int32, len(context) + 1, context.offset * 4)
-            data = np.frombuffer(context.buffers()[2], np.uint8)[offs[0] : offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
-            rows, starts = shared_windows(got.column("f").to_numpy(), data, np.diff(offs).astype(np.int64), got.column("left").to_numpy().astype(np.int64), window)
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(d[rows]), pa.array(starts.astype(np.int32))], names=["d", "off"])
+            data = np.frombuffer(context.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+            row, first, many = shared_windows(got.column("key").to_numpy(), data, np.diff(offs).astype(np.int64), got.column("left").to_numpy().astype(np.int64), window)
+            yield pa.RecordBatch.from_arrays([pa.array(f[row]), pa.array(d[row]), pa.array((first + base[row]).astype(np.int32)), pa.array(many.astype(np.int32))], names=["f", "d", "off", "many"])
 
     return run
 
 
-def _window_hashes(window: int):
-    """For mapInArrow over contexts of very frequent anchors: 128 bits for each window."""
+def _split(rows: DataFrame, window: int, width: int) -> DataFrame:
+    """Contexts by ranges of ``width`` anchor offsets, keyed by the bytes that all windows of a range cover."""
+    last = F.col("left") - (F.length("context") - window)  # the anchor's offset in the last window
+    each = rows.withColumn("low", last).withColumn("c", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"left div {width}"))))
+    each = each.withColumns({"a": F.greatest("low", F.col("c") * width), "b": F.least("left", F.col("c") * width + width - 1)})
+    core = F.expr(f"substring(context, left - c * {width} + 1, {window - width + 1})")
+    return each.select(
+        F.xxhash64("f", F.lit(width), "c", core).alias("key"), "f", "d", F.expr("base + left - b").cast("int").alias("base"),
+        F.col("b").cast("int").alias("left"), F.expr(f"substring(context, left - b + 1, {window} + b - a)").alias("context"),
+    )
 
-    def run(batches):
-        for batch in batches:
-            d = batch.column("d").to_numpy()
-            context = batch.column("context")
-            offs = np.frombuffer(context.buffers()[1], np.int32, len(context) + 1, context.offset * 4).astype(np.int64)
-            data = np.frombuffer(context.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-            offs = offs - offs[0]
-            at = np.flatnonzero(tc.inside(offs, len(data), window))
-            own = tc.owners(offs, len(data))[at]
-            h = [tc.span_hashes(data, at, at + window, second) for second in (False, True)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in h), pa.array(d[own]), pa.array((at - offs[own]).astype(np.int32))], names=["h1", "h2", "d", "off"])
 
-    return run
+def _indexable(contexts: DataFrame, window: int, block_rows: int) -> DataFrame:
+    """Contexts keyed so that no key has many more than ``block_rows`` rows and equal windows meet under some key."""
+    rows, parts = contexts.select(F.col("f").alias("key"), "f", "d", F.lit(0).alias("base"), "left", "context"), []
+    for width in CLASSES:
+        large = stage(rows.groupBy("key").count().where(F.col("count") > block_rows).select("key"), "large")
+        parts.append(rows.join(large, "key", "left_anti"))
+        rows = _split(rows.join(large, "key", "left_semi"), window, width)
+    # under these keys all windows are equal: each piece gets the same one of them
+    pieces = rows.groupBy("key").agg(F.min("d").alias("hub"), F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
+    salt = F.when(F.col("d") == F.col("hub"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.pmod(F.xxhash64("d"), F.col("n")).cast("int")))
+    dealt = rows.join(pieces, "key").withColumn("salt", F.explode(salt))
+    parts.append(dealt.select(F.xxhash64("key", "salt").alias("key"), *rows.columns[1:]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _cut_bytes(window: int):
+    @tc.tidy
     def run(batches):
         for batch in batches:
             for part in tc.slices(batch, "_text"):
@@ -150,7 +206,7 @@ def _cut_bytes(window: int):
                     at = offs[own] + flat.field("pos").to_numpy(zero_copy_only=False)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + flat.field("len").to_numpy(zero_copy_only=False), -1)
-                gone = np.cumsum(change[:-1]) > 0
+                gone = np.cumsum(change[:-1], dtype=np.int32) > 0
                 before = np.append(0, np.cumsum(gone))
                 removed = before[offs[1:]] - before[offs[:-1]]
                 edge = np.zeros(len(buf) + 1, bool)
@@ -168,35 +224,33 @@ def _cut_bytes(window: int):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 64, hot_rows: int = 20_000, keep_columns: list[str] | None = None) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 64, block_rows: int = 8192, keep_columns: list[str] | None = None) -> DataFrame:
     """Cut every byte covered by a ``window``-byte string that occurs twice or more.
 
     Returns ``keep_columns`` (default: the id) with n_bytes, n_removed, n_spans
     (maximal removed runs) and kept (binary: the remaining bytes, concatenated).
     """
-    if not 8 <= gram < window or window - gram >= 1 << 15:
+    if not 8 <= gram < window or window - gram >= 1 << 15 or window < max(CLASSES):
         raise ValueError("8 <= gram < window and window - gram < 32768")
     texts = keyed(docs, id_col, text_col)
     rows = texts.mapInArrow(anchors.byte_runs(window, gram), anchors.RUN_SCHEMA)
-    runs = stage(rows.groupBy("f", "d").agg(F.count("*").alias("c"), F.min(F.struct("doc", "at", "cnt")).alias("rep")).select("f", "d", "c", "rep.*"), "runs")
-    several = runs.groupBy("f").agg(F.count("*").alias("n")).where("n > 1")
-    asked = wanted_by_doc(runs.join(several, "f", "left_semi"), "f")
-    contexts = stage(texts.join(asked, ["doc", "tag"]).select("text", "want").mapInArrow(_contexts(window), "f long, d long, left int, context binary").dropDuplicates(["d"]), "contexts")
-    hot = several.where(F.col("n") > hot_rows).select("f")
-    sorted_contexts = contexts.join(hot, "f", "left_anti").repartition("f").sortWithinPartitions("f")
-    hits = sorted_contexts.mapInArrow(_blocks(window), "d long, off int")
-    windows = contexts.join(hot, "f", "left_semi").select("d", "context").mapInArrow(_window_hashes(window), "h1 long, h2 long, d long, off int")
-    twice = windows.groupBy("h1", "h2").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h1", "h2")
-    hits = hits.unionByName(windows.join(twice, ["h1", "h2"], "left_semi").select("d", "off"))
-    starts = hits.groupBy("d").agg(F.sort_array(F.collect_set("off")).alias("offs"))
-
-    count = F.col("cnt").bitwiseAND((1 << anchors.ANCHOR_SHIFT) - 1)
-    place = [F.col("doc"), F.shiftright("at", 32).cast("int").alias("tag"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos")]
-    once = runs.where("c = 1").join(starts, "d").select(*place, F.explode("offs").alias("off"))
-    once = once.select("doc", "tag", (F.col("pos") + F.col("off")).alias("pos"), F.lit(window).alias("len"))
-    more = rows.join(runs.where("c > 1").select("d"), "d", "left_semi").select(*place, (count + window - 1).cast("int").alias("len"))
-    spans = stage(once.unionByName(more).groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "len")).alias("_spans")), "spans")
-    discard(runs, contexts)
+    place = F.struct("doc", "tag", "at")
+    runs = stage(rows.groupBy("f", "d").agg(F.count("*").alias("c"), F.min(place).alias("lo"), F.max(place).alias("hi")), "runs")
+    several = runs.groupBy("f").agg(F.sum("c").alias("n")).where("n > 1").select("f")
+    asked = runs.join(several, "f", "left_semi").select("f", "d", F.explode(F.when(F.col("c") > 1, F.array("lo", "hi")).otherwise(F.array("lo"))).alias("k"))
+    asked = asked.groupBy("k.doc", "k.tag").agg(F.collect_list(F.struct("f", "d", "k.at")).alias("want"))
+    once = texts.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "tag").orderBy("doc"))).where("nth = 1").drop("nth")
+    contexts = stage(once.join(asked, ["doc", "tag"]).select("text", "want").mapInArrow(_contexts(window), "f long, d long, left int, context binary"), "contexts")
+    blocks = _indexable(contexts, window, block_rows).repartition("key").sortWithinPartitions("key")
+    hits = blocks.mapInArrow(_blocks(window, block_rows), "f long, d long, off int, many int")
+    shared = stage(hits.groupBy("f", "d").agg(F.collect_set(F.struct("off", "many")).alias("hits")), "hits")
+
+    once = runs.where("c = 1").join(shared, ["f", "d"]).select("lo.*", "hits")
+    more = rows.join(shared.join(runs.where("c > 1").select("f", "d"), ["f", "d"]), ["f", "d"]).select("doc", "tag", "at", "hits")
+    marks = once.unionByName(more).select("doc", "tag", F.shiftright("at", 32).cast("int").alias("pos"), F.explode("hits").alias("h"))
+    span = F.struct((F.col("pos") + F.col("h.off")).alias("pos"), (F.col("h.many") + window - 1).alias("len"))
+    spans = stage(marks.groupBy("doc", "tag").agg(F.collect_set(span).alias("_spans")), "spans")
+    discard(runs, contexts, shared)
 
     whole = docs.select(*key_columns(id_col, text_col), F.col(text_col).cast("string").alias("_text"), F.struct(*(keep_columns or [id_col])).alias("_row"))
     joined = whole.join(spans, ["doc", "tag"], "left").select("_row", "_text", "_spans")

@@ -13,7 +13,8 @@ Scoring reads every whole text.
 
 Defined results: a null or empty text has no terms and gets the bias' score; labels that are
 null or have no document don't count; without labels of both classes every score is the
-share of toxic labels (0 without any); an empty table gives an empty result.
+share of toxic labels (0 without any); an empty table gives an empty result; the score
+column takes the place of an input column with its name.
 """
 
 from __future__ import annotations
@@ -77,6 +78,7 @@ def _distinct(own: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return own[new], values[new]
 
 
+@tc.tidy
 def _training_terms(batches):
     for batch in batches:
         for part in tc.slices(batch, "text"):
@@ -153,11 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return FactorizationMachine(terms, fitted[0].w, np.array([r.w for r in fitted[1:]]), np.array([r.v for r in fitted[1:]]))
 
 
-def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
-    """``keep_columns`` (default: all) and ``score`` of every row; the text is read whole."""
-    columns = keep_columns or docs.columns
+def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", keep_columns: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """``keep_columns`` (default: all) and ``score_col`` of every row; the text is read whole."""
+    columns = [c for c in keep_columns or docs.columns if c != score_col]
     rows = docs.select(F.struct(*columns).alias("_row"), F.col(text_col).cast("string").alias("text"))
 
+    @tc.tidy
     def run(batches):
         for batch in batches:
             for part in tc.slices(batch, "text"):
@@ -168,6 +171,6 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
                     own, slots = _distinct(own[known], at[known])
                 else:
                     own, slots = own[:0], own[:0]
-                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(model.scores(own, slots, part.num_rows))], names=["_row", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(model.scores(own, slots, part.num_rows))], names=["_row", score_col])
 
-    return rows.mapInArrow(run, rows.select("_row").schema.add("score", "double")).select("_row.*", "score")
+    return rows.mapInArrow(run, rows.select("_row").schema.add(score_col, "double")).select("_row.*", score_col)

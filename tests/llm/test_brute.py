@@ -49,9 +49,12 @@ def components(links, ids):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_repeated_bytes(spark, hot):
-    rows, window = corpus(1), 48
+@pytest.mark.parametrize("block_rows", [8192, 2, 12])
+def test_repeated_bytes(spark, block_rows):
+    rnd, window = random.Random(1), 48
+    rows = corpus(1)
+    passage = "".join(rnd.choices("abcdefgh ", k=150))  # with other bytes around it in many texts
+    rows += [(100 + i, "".join(rnd.choices("xyz ", k=rnd.randrange(60))) + passage[rnd.randrange(20) :] + "".join(rnd.choices("xyz ", k=30))) for i in range(60)]
     data = [t.encode() for _, t in rows]
     seen = {}
     for t in data:
@@ -65,7 +68,7 @@ def test_repeated_bytes(spark, hot):
                 gone[k : k + window] = True
         spans = int((gone & ~np.append(False, gone[:-1])).sum()) if len(t) else 0
         want[i] = (len(t), int(gone.sum()), spans, np.frombuffer(t, np.uint8)[~gone].tobytes())
-    got = remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), window=window, gram=16, hot_rows=hot)
+    got = remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), window=window, gram=16, block_rows=block_rows)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()} == want
 
 
@@ -94,17 +97,31 @@ def test_known_windows_in_any_number_of_batches(spark):
 
 
 def test_index_compaction_changes_nothing(spark):
-    rows = corpus(3, 30)
-    texts = keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    texts = keyed(spark.createDataFrame(corpus(3, 30), "doc_id long, text string"), "doc_id", "text")
     marks = []
     for most in (1, 9):
         index = FingerprintIndex(spark, max_runs=most)
-        out = [sorted(map(str, index.add(texts.where(f"doc >= {a} and doc < {a + 10}"), texts.where(f"doc < {a + 10}")).selectExpr("doc", "array_sort(spans) s").collect())) for a in (0, 10, 20)]
-        assert len(index.runs) == (1 if most == 1 else 3)
+        out = [sorted(map(str, index.add(texts.where(f"doc >= {a} and doc < {a + 10}")).selectExpr("doc", "array_sort(spans) s").collect())) for a in (0, 10, 20)]
+        assert len(index.runs()) == (1 if most == 1 else 3)
+        index.close(delete=True)
         marks.append(out)
     assert marks[0] == marks[1]
 
 
+def test_index_opens_again_and_history_is_not_exchanged(spark, tmp_path):
+    rows, path = corpus(4), f"file://{tmp_path}/index"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = remove_known_windows(df.where("doc_id < 30"), index_path=path, batches=2, max_runs=1).collect()
+    other = spark.newSession()
+    second = remove_known_windows(other.createDataFrame(rows[30:], "doc_id long, text string"), index_path=path, batches=1, max_runs=3).collect()
+    assert {r.doc_id: (r.n_words, r.kept_text) for r in first + second} == known_windows(rows)
+    index = FingerprintIndex(other, path)
+    assert len(index.runs()) == 2
+    plan = index.met(index.table(index.runs()[1]), index.runs()[:1])[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    index.close()
+
+
 def shingle_components(rows, size, num):
     sets = {}
     for i, t in rows:
@@ -224,9 +241,7 @@ def test_nbest_paths():
             single = False
             for e in range(s + 1, len(marked) + 1):
                 hit = lattice.table.get(marked[s:e])
-                if hit is None:
-                    break
-                if hit[0] >= 0:
+                if hit is not None:
                     single = single or e == s + 1
                     walk(e, score + hit[1], [*ids, hit[0]])
             if not single:
@@ -241,6 +256,18 @@ def test_nbest_paths():
         got, want = lattice.encode(text, 4), every(text)
         assert [s for s, _ in got] == [s for s, _ in want[:4]]
         assert all(lattice.decode(i) == text for _, i in got) and len({tuple(i) for _, i in got}) == len(got)
+        for part in lattice.parts(text):
+            one, together = lattice.search_one(part), lattice.search([part])
+            assert (one[0], one[1], one[2]) == (together.score[0], together.flat.tolist(), together.gap[0])
+
+
+@pytest.mark.skipif(not os.path.exists(DEFAULT_MODEL), reason="no vocabulary here")
+@pytest.mark.parametrize("text", ["=" * 300_000, "a" * 300_000, "ab" * 20_000, "é☃" * 20_000])
+def test_unbroken_texts(text):
+    lattice = PieceLattice(DEFAULT_MODEL)
+    got = lattice.encode(text, 3)
+    assert 2 <= len(got) == len({tuple(i.tolist()) for _, i in got}) and all(lattice.decode(i) == text for _, i in got)
+    assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
 
 
 @pytest.mark.skipif(not os.path.exists(DEFAULT_MODEL), reason="no vocabulary here")
@@ -249,7 +276,7 @@ def test_nbest_ids_of_a_table(spark):
     rows = [(i, t) for i, (_, t) in enumerate(corpus(13, 12))] + [(100, ""), (101, None), (102, "the ingé ☃"), (103, "x")]
     for r in encode_texts(spark.createDataFrame(rows, "doc_id long, text string"), n=3).collect():
         want = lattice.encode(r.text or "", 3)
-        assert r.nbest_ids == [ids for _, ids in want] and r.nbest_scores == [s for s, _ in want] and r.ids == r.nbest_ids[0]
+        assert r.nbest_ids == [ids.tolist() for _, ids in want] and r.nbest_scores == [s for s, _ in want] and r.ids == r.nbest_ids[0]
 
 
 def test_graph_recall(spark):
