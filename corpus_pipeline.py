@@ -18,11 +18,14 @@ from eventloom.llm.session import table
 from eventloom.llm.staging import stage
 from eventloom.llm.suffix_dedup import remove_repeated_bytes
 
+#: A name that no column of ``documents`` has.
+TOXICITY = "_corpus_pipeline_toxicity"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below 0.5."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.5").drop("score")
+    return toxicity.score(docs, model, score_col=TOXICITY).where(F.col(TOXICITY) < 0.5).drop(TOXICITY)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
