@@ -178,7 +178,7 @@ def compact_payloads(rows: DataFrame, payload: str, max_bytes: int = 4000, items
 
 def request_bodies(requests: DataFrame, kinds: DataFrame) -> DataFrame:
     """JSON bodies from requests (request_id, kind, model, payload) and a table of kinds (kind, prompt, max_output)."""
-    rows = requests.join(F.broadcast(kinds), "kind")
+    rows = requests.join(kinds, "kind")
     body = F.struct("model", F.col("prompt").alias("instructions"), F.col("payload").alias("input"), F.col("max_output").alias("max_output_tokens"))
     return rows.select("request_id", F.to_json(body).alias("body"))
 
@@ -215,6 +215,19 @@ def import_status(rows: DataFrame, attempts: str = "attempts", most: int = 3) ->
     return rows.withColumn("status", F.when(F.col("valid"), "done").when(F.col(attempts) < most, "retry").otherwise("malformed"))
 
 
+def supersede(requests: DataFrame, legacy: str, source_type: str = "gameplay") -> DataFrame:
+    """Requests (source_type, status, kind, payload) with unsent ones of an old kind or with identifiers retired.
+
+    Only queued requests of ``source_type`` change: their status becomes superseded and ``response`` says why;
+    what a service has accepted stays.  ``kind`` may carry a version; malformed payloads hold no identifier.
+    """
+    sound = F.coalesce(F.try_parse_json("payload").isNotNull(), F.lit(False))
+    retire = (F.col("source_type") == source_type) & (F.col("status") == "queued") & ((base_name(F.col("kind")) == legacy) | (sound & contains_identifier(F.col("payload"))))
+    retire = F.coalesce(retire, F.lit(False))
+    reason = F.to_json(F.struct(F.lit("superseded").alias("status"), F.lit(f"legacy_{source_type}_payload").alias("reason")))
+    return requests.withColumns({"status": F.when(retire, "superseded").otherwise(F.col("status")), "response": F.when(retire, reason)})
+
+
 def merge_ledger(entries: DataFrame, key: str = "ledger_key", order: str = "entry_id") -> DataFrame:
     """One row per key: last status and model, last known tokens, largest estimate and retries."""
     last_known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))

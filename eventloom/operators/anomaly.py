@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,6 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import checkpointed
+
+#: Scores between 0 and 1 are counted in so many cells to find a percentile.
+CELLS = 10_000
+
 
 def robust_z(rows: DataFrame, value: str, group: Sequence[str] = (), least: int = 3) -> DataFrame:
     """Add robust_z = 0.6745 (x - median) / MAD: null below ``least`` values, 0 where MAD is 0.
@@ -107,8 +113,12 @@ def isolation_scores(rows: DataFrame, row_id: str, features: Sequence[str], tree
     total = rows.count()
     data = rows.select(row_id, *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names))
     share = min(1.0, 2.0 * sample / max(1, total))
-    draws = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draws = draws.withColumn("u", F.pmod(F.xxhash64(row_id, "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).where(F.col("u") < share)
+    # a hash draws rows into ranges of trees: on a large table a row is drawn once or never, on one of a few rows once a tree
+    rounds = min(trees, math.ceil(trees * share))
+    each = math.ceil(trees / rounds)
+    draws = data.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))) if rounds > 1 else data.withColumn("round", F.lit(0))
+    draws = draws.withColumn("u", F.pmod(F.xxhash64(row_id, "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+    draws = draws.withColumn("of", F.floor(F.col("u") / share)).withColumn("tree", (F.col("round") * each + F.col("of")).cast("int")).where((F.col("of") < each) & (F.col("tree") < trees))
     depth = int(np.ceil(np.log2(max(2, sample))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,9 +162,24 @@ def isolation_scores(rows: DataFrame, row_id: str, features: Sequence[str], tree
                 paths += tree[at, 4]
             yield pd.DataFrame({row_id: pdf[row_id], "score": 2.0 ** (-paths / max(1, len(grown)) / norm)})
 
-    scored = data.mapInPandas(score, f"{row_id} {rows.schema[row_id].dataType.simpleString()}, score double")
-    cut = scored.agg(F.percentile("score", 1 - contamination).alias("_cut"))
-    return scored.crossJoin(F.broadcast(cut)).select(row_id, "score", ((F.col("score") > F.col("_cut")) & F.lit(total >= least)).alias("outlier"))
+    scored = checkpointed(data.mapInPandas(score, f"{row_id} {rows.schema[row_id].dataType.simpleString()}, score double"))
+    # the percentile's two neighbours lie in cells that counts find, so only these cells' scores are sorted
+    cells = scored.groupBy(F.floor(F.col("score") * CELLS).cast("int").alias("cell")).count().orderBy("cell").collect()
+    at, below, wanted = (total - 1) * (1 - contamination), 0, {}
+    for r in cells:
+        for k in (math.floor(at), math.ceil(at)):
+            if below <= k < below + r["count"]:
+                wanted[k] = (r["cell"], k - below)
+        below += r["count"]
+    cut = float("inf")
+    if wanted:
+        near = Window.partitionBy("cell").orderBy("score")
+        some = scored.withColumn("cell", F.floor(F.col("score") * CELLS).cast("int")).where(F.col("cell").isin([c for c, _ in wanted.values()]))
+        ranked = some.withColumn("rank", F.row_number().over(near) - 1)
+        found = {(r["cell"], r["rank"]): r["score"] for r in ranked.where(" or ".join(f"(cell = {c} and rank = {k})" for c, k in wanted.values())).collect()}
+        low, high = found[wanted[math.floor(at)]], found[wanted[math.ceil(at)]]
+        cut = low + (high - low) * (at - math.floor(at))
+    return scored.select(row_id, "score", (F.col("score") > cut) & F.lit(total >= least)).toDF(row_id, "score", "outlier")
 
 
 def _path(n: int) -> float:

@@ -6,7 +6,7 @@ weapon and distance.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NAMED = ("player_damage", "player_death")
@@ -28,6 +28,18 @@ def hits_before_deaths(combat: DataFrame, window_s: float = 8.0, death_type: str
     return met.where(F.col("round_id").eqNullSafe(F.col("hit_round")) & earlier & (age <= window_s)).select("death_id", "death_us", "victim_id", "event_id", "t_us", "attacker_id", "damage", age.alias("age_s"))
 
 
+def decay(age_s: Column, decay_s: float = 4.0) -> Column:
+    """Weight of damage of an age."""
+    return F.exp(-age_s / decay_s)
+
+
+def kill_confidence(age_s: Column, share: Column, attackers: Column, final_s: float = 2.5, high_s: float = 0.75, high_share: float = 0.5) -> Column:
+    """'high' or 'low' for the last attacker of a death, null if its hit is too old."""
+    killed = age_s <= final_s
+    high = (age_s <= high_s) & ((attackers == 1) | (share >= high_share))
+    return F.when(killed & high, "high").when(killed, "low")
+
+
 def attribute_deaths(combat: DataFrame, window_s: float = 8.0, final_s: float = 2.5, high_s: float = 0.75, decay_s: float = 4.0, high_share: float = 0.5, assist_share: float = 0.15) -> DataFrame:
     """Per death: killer, confidence, assists.
 
@@ -36,13 +48,13 @@ def attribute_deaths(combat: DataFrame, window_s: float = 8.0, final_s: float =
     only attacker or one with ``high_share``; assists are the others with ``assist_share``.
     """
     hits = hits_before_deaths(combat, window_s)
-    per = hits.groupBy("death_id", "attacker_id").agg(F.sum(F.col("damage") * F.exp(-F.col("age_s") / decay_s)).alias("w"), F.max(F.struct("t_us", "event_id", "age_s")).alias("last"))
+    per = hits.groupBy("death_id", "attacker_id").agg(F.sum(F.col("damage") * decay(F.col("age_s"), decay_s)).alias("w"), F.max(F.struct("t_us", "event_id", "age_s")).alias("last"))
     total = per.groupBy("death_id").agg(F.sum("w").alias("total"), F.count("*").alias("attackers"), F.max_by(F.struct("attacker_id", "w", F.col("last.age_s").alias("age_s")), F.col("last")).alias("k"), F.collect_list(F.struct("attacker_id", "w")).alias("all"))
     killed = F.col("k.age_s") <= final_s
     share = F.try_divide(F.col("k.w"), F.col("total"))
-    high = (F.col("k.age_s") <= high_s) & ((F.col("attackers") == 1) | (share >= high_share))
+    confidence = kill_confidence(F.col("k.age_s"), share, F.col("attackers"), final_s, high_s, high_share)
     others = F.filter("all", lambda x: (x["attacker_id"] != F.col("k.attacker_id")) & (F.try_divide(x["w"], F.col("total")) >= assist_share))
-    total = total.select("death_id", F.when(killed, F.col("k.attacker_id")).alias("killer_id"), F.when(killed & high, "high").when(killed, "low").alias("confidence"), F.when(killed, F.array_sort(F.transform(others, lambda x: x["attacker_id"]))).alias("assists"))
+    total = total.select("death_id", F.when(killed, F.col("k.attacker_id")).alias("killer_id"), confidence.alias("confidence"), F.when(killed, F.array_sort(F.transform(others, lambda x: x["attacker_id"]))).alias("assists"))
     deaths = combat.where("event_type = 'player_death'").select(F.col("event_id").alias("death_id"), "victim_id", "round_id")
     out = deaths.join(total, "death_id", "left")
     return out.withColumns({"confidence": F.coalesce("confidence", F.lit("unattributed")), "assists": F.coalesce("assists", F.array().cast("array<int>"))})

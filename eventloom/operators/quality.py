@@ -12,11 +12,27 @@ def first_per_key(events: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def sequence_gaps(events: DataFrame, source: str, seq: str) -> DataFrame:
-    """Missing ranges of each source's sequence, which starts at 1: expected, observed, missing."""
-    w = Window.partitionBy(source).orderBy(seq)
-    unique = events.select(source, seq).distinct()
-    return unique.withColumn("expected", F.lag(seq, 1, 0).over(w) + 1).where(F.col("expected") < F.col(seq)).select(source, "expected", F.col(seq).alias("observed"), (F.col(seq) - F.col("expected")).alias("missing"))
+def sequence_gaps(events: DataFrame, source: str, seq: str, cell: int = 1 << 20) -> DataFrame:
+    """Missing ranges of each source's sequence, which starts at 1: expected, observed, missing.
+
+    Gaps are taken within ranges of ``cell`` numbers and between the ranges' ends, so that a source with
+    most of the events is spread over many tasks.
+    """
+    cells = events.select(source, seq, F.floor(F.col(seq) / cell).alias("_cell")).distinct()
+    inner = cells.withColumn("_before", F.lag(seq).over(Window.partitionBy(source, "_cell").orderBy(seq))).where("_before is not null")
+    ends = cells.groupBy(source, "_cell").agg(F.min(seq).alias(seq), F.max(seq).alias("_last"))
+    between = ends.withColumn("_before", F.lag("_last", 1, 0).over(Window.partitionBy(source).orderBy("_cell")))
+    both = inner.select(source, seq, "_before").unionByName(between.select(source, seq, "_before")).withColumn("expected", F.col("_before") + 1)
+    return both.where(F.col("expected") < F.col(seq)).select(source, "expected", F.col(seq).alias("observed"), (F.col(seq) - F.col("expected")).alias("missing"))
+
+
+def numbered(rows: DataFrame, key: str, name: str = "nth", cell: int = 1 << 20) -> DataFrame:
+    """Rows numbered from 1 by a distinct whole-number key: within ranges of keys, then over the ranges' counts."""
+    cells = rows.withColumn("_cell", F.floor(F.col(key) / cell))
+    ahead = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.groupBy("_cell").count().select("_cell", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_cell").orderBy(key))
+    return cells.withColumn("_own", own).join(starts, "_cell").withColumn(name, F.col("_start") + F.col("_own")).drop("_cell", "_start", "_own")
 
 
 def source_coverage(events: DataFrame, source: str, seq: str) -> DataFrame:

@@ -57,10 +57,25 @@ def octant(vx: Column, vy: Column) -> Column:
     return (F.floor((F.atan2(vy, vx) + F.pi()) / (F.pi() / 4)) % 8).cast("int")
 
 
+def speed_bucket(speed: Column, width: float = 2.0) -> Column:
+    return F.floor(speed / width)
+
+
+def samples_of(samples: DataFrame, events: DataFrame, entities: DataFrame, event: str = "event_id", entity: str = "entity_id") -> DataFrame:
+    """Samples with the time of their event and the name and category of their entity; samples that lack either go."""
+    return samples.join(events.select(event, "t_us"), event).join(entities.select(entity, "name"), entity).withColumn("category", object_category(F.col("name")))
+
+
+def scene_pattern_matches(candidates: DataFrame) -> DataFrame:
+    """Candidates of assisted movement as pattern matches: confidence 1 for high ones, 0.65 for medium ones, the others go."""
+    rows = candidates.where(F.col("confidence").isin("high", "medium"))
+    return rows.select("interaction_id", F.lit("scene_assisted_movement").alias("signature"), F.when(F.col("confidence") == "high", 1.0).otherwise(0.65).alias("confidence"))
+
+
 def trajectory_clusters(samples: DataFrame, category: str, missile: str, min_speed: float = 0.5, bucket: float = 2.0) -> DataFrame:
     """Counts by category, speed bucket, direction octant and missile flag; slow samples are dropped."""
     moving = samples.withColumn("speed", F.hypot("vx", "vy")).where(F.col("speed") >= min_speed)
-    return moving.groupBy(F.col(category).alias("category"), F.floor(F.col("speed") / bucket).alias("speed_bucket"), octant(F.col("vx"), F.col("vy")).alias("octant"), F.col(missile).alias("is_missile")).agg(F.count("*").alias("n"))
+    return moving.groupBy(F.col(category).alias("category"), speed_bucket(F.col("speed"), bucket).alias("speed_bucket"), octant(F.col("vx"), F.col("vy")).alias("octant"), F.col(missile).alias("is_missile")).agg(F.count("*").alias("n"))
 
 
 def motifs(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, action: str, longest: int = 8, span: float = 5000.0) -> DataFrame:
@@ -79,21 +94,30 @@ def action_ngrams(sequences: DataFrame, actions: str, shortest: int = 2, longest
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, low: float, high: float, row_id: str, values: Sequence[str], latest: bool = True) -> DataFrame:
-    """For each left row the right row of its keys with time in [t + low, t + high], the latest or the earliest.
+def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, left_time: str, right_time: str, row_id: str, values: Sequence[str], spans: dict[str, tuple[float, float, bool]]) -> DataFrame:
+    """For each left row (``left_id`` is unique) and span the right row of its keys with time in [t + low, t + high].
 
-    Both sides are cut into time buckets as wide as the range, so that a busy key is spread.
-    Adds ``values`` of the row found (null if none).
+    ``spans``: name: (low, high, latest); the latest or the earliest such row, ties by ``row_id``.  Both
+    sides are merged by one exchange, and the last right row is carried along the times once up and once down, so
+    that a key with many rows on both sides costs no more than its rows.  Returns ``left_id`` and
+    a struct of ``values`` for each span, null if there is none; a null key matches nothing.
     """
-    width = max(high - low, 1.0)
-    named = right.select(*keys, F.floor(F.col(right_time) / width).alias("_b"), F.col(right_time).alias("_rt"), F.col(row_id).alias("_rid"), F.struct(*values).alias("_v"))
-    spread = left.withColumn("_b", F.explode(F.sequence(F.floor((F.col(left_time) + low) / width), F.floor((F.col(left_time) + high) / width))))
-    met = spread.join(named, [*keys, "_b"]).where((F.col("_rt") >= F.col(left_time) + low) & (F.col("_rt") <= F.col(left_time) + high))
-    order = F.struct("_rt", "_rid")
-    pick = F.max_by("_v", order) if latest else F.min_by("_v", order)
-    own = left.columns
-    found = met.groupBy(*own).agg(pick.alias("_v"))
-    return left.join(found.select(own[0], "_v"), own[0], "left").select(*own, *(F.col(f"_v.{v}").alias(f"near_{v}") for v in values))
+    probe = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), (F.col(left_time) + (high if latest else low)).cast("double").alias("at")) for n, (low, high, latest) in spans.items())))
+    known = [F.col(k).isNotNull() for k in keys]
+    asked = left.where(F.lit(True) if not known else known[0] if len(known) == 1 else known[0] & known[1]).select(*keys, F.col(left_id).alias("_left"), probe.alias("_p"))
+    asked = asked.select(*keys, "_left", F.col("_p.name").alias("_name"), F.col("_p.at").alias("_at"))
+    row = F.struct(F.col(right_time).cast("double").alias("at"), *values)
+    rows = right.select(*keys, F.lit(None).cast(asked.schema["_left"].dataType).alias("_left"), F.lit(None).cast("string").alias("_name"), F.col(right_time).cast("double").alias("_at"), F.col(row_id).alias("_id"), row.alias("_row"))
+    merged = rows.unionByName(asked, allowMissingColumns=True)
+    w, side = Window.partitionBy(*keys), F.col("_name").isNotNull()
+    carried = lambda *order: F.last("_row", ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    merged = merged.withColumn("_before", carried("_at", side, "_id")).withColumn("_after", carried(F.desc("_at"), side, F.desc("_id"))).where(side)
+    found = []
+    for n, (low, high, latest) in spans.items():
+        c = "_before" if latest else "_after"
+        near = F.col(f"{c}.at") >= F.col("_at") - (high - low) if latest else F.col(f"{c}.at") <= F.col("_at") + (high - low)
+        found.append(F.max(F.when((F.col("_name") == n) & near, F.struct(*(F.col(f"{c}.{v}") for v in values)))).alias(n))
+    return merged.groupBy(F.col("_left").alias(left_id)).agg(*found)
 
 
 def boost_confidence(coverage: Column, impulse: Column, speed_gain: Column, displacement: Column, least: float = 0.7, strong: tuple = (0.5, 0.5, 0.25), some: float = 0.25) -> Column:
@@ -110,13 +134,13 @@ def assisted_movement(interactions: DataFrame, objects: DataFrame, players: Data
     ``players``: entity_id, round_id, game_ms, sample_id, x, y, vx, vy.  The last samples at or
     before the interaction and the first ones after it are compared; a missing sample has speed 0.
     """
-    out = interactions.select("interaction_id", round_key, "game_ms", F.col("target_id").cast("long").alias("target"), F.col("player_id").cast("long").alias("player"))
-    spans = [("ob", objects, "target", -around, 0.0, True), ("oa", objects, "target", 0.0, around, False), ("pb", players, "player", -around, 0.0, True), ("pa", players, "player", after[0], after[1], False)]
-    for name, side, key, low, high, latest in spans:
-        values = [f"{name}_{v}" for v in ("x", "y", "vx", "vy")]
-        right = side.select(round_key, F.col("entity_id").alias(key), "game_ms", "sample_id", *(F.col(v[3:]).alias(v) for v in values))
-        out = nearest_within(out, right, [round_key, key], "game_ms", "game_ms", low, high, "sample_id", values, latest)
-    near = lambda n, v: F.col(f"near_{n}_{v}")
+    base = interactions.select("interaction_id", round_key, "game_ms", F.col("target_id").cast("long").alias("target"), F.col("player_id").cast("long").alias("player"))
+    values, out = ["x", "y", "vx", "vy"], base.select("interaction_id")
+    sides = [(objects, "target", {"ob": (-around, 0.0, True), "oa": (0.0, around, False)}), (players, "player", {"pb": (-around, 0.0, True), "pa": (*after, False)})]
+    for side, key, spans in sides:
+        right = side.select(round_key, F.col("entity_id").alias(key), "game_ms", "sample_id", *values)
+        out = out.join(nearest_within(base, right, [round_key, key], "interaction_id", "game_ms", "game_ms", "sample_id", values, spans), "interaction_id", "left")
+    near = lambda n, v: F.col(f"{n}.{v}")
     speed = lambda n: F.coalesce(F.hypot(near(n, "vx"), near(n, "vy")), F.lit(0.0))
     found = sum((near(n, "vx").isNotNull().cast("double") for n in ("ob", "oa", "pb", "pa")), F.lit(0.0)) / 4
     moved = F.coalesce(F.hypot(near("pa", "x") - near("pb", "x"), near("pa", "y") - near("pb", "y")), F.lit(0.0))

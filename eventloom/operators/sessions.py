@@ -159,7 +159,7 @@ def session_summary(sessions: DataFrame, rounds_of: DataFrame, pings: DataFrame,
 def player_retention(sessions: DataFrame) -> DataFrame:
     """Per identity: sessions, seconds played in closed ones, and whole days between first and last join."""
     rows = sessions.where("identity_id is not null")
-    return rows.groupBy("identity_id").agg(F.count("*").alias("sessions"), F.sum((F.col("left_us") - F.col("joined_us")) / 1e6).alias("playtime_s"), F.floor((F.max("joined_us") - F.min("joined_us")) / DAY_US).alias("observed_days"))
+    return rows.groupBy("identity_id").agg(F.count("*").alias("sessions"), F.sum((F.col("left_us") - F.col("joined_us")) / 1e6).alias("playtime_s"), whole_days(F.min("joined_us"), F.max("joined_us")).alias("observed_days"))
 
 
 def ping_distribution(samples: DataFrame, entity: str, value: str, row_id: str) -> DataFrame:
@@ -170,14 +170,27 @@ def ping_distribution(samples: DataFrame, entity: str, value: str, row_id: str)
     return ranked.groupBy(entity).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(F.when(middle, F.col(value))).alias("median"), *(F.count_if(F.col(value) > x).alias(f"over_{x}") for x in (100, 150, 200, 250)))
 
 
+def leaves_during(rounds: DataFrame, sessions: DataFrame, width_us: int = 3_600_000_000) -> DataFrame:
+    """Per round with any: leaves of its server's sessions while it ran, met in time buckets."""
+    ends = rounds.select("round_id", F.col("map").alias("server"), "started_us", (F.col("started_us") + F.col("duration_ms") * 1000).alias("ended_us"))
+    left = sessions.where("left_us is not null").select("server", "left_us")
+    spans = ends.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("started_us") / width_us), F.floor(F.col("ended_us") / width_us))))
+    met = spans.join(left.withColumn("bucket", F.floor(F.col("left_us") / width_us)), ["server", "bucket"]).where("left_us between started_us and ended_us")
+    return met.groupBy("round_id").agg(F.count("*").alias("leaves"))
+
+
+def left_of(events: DataFrame, sessions: DataFrame, session: str = "session_id") -> DataFrame:
+    """Events with the time at which their session was left."""
+    return events.join(sessions.select(session, "left_us"), session, "left")
+
+
+def whole_days(first_us: Column, last_us: Column) -> Column:
+    return F.floor((last_us - first_us) / DAY_US)
+
+
 def map_quality(rounds: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per map: rounds, mean duration and players, and leaves while a round of its server ran.
 
     Leaves are matched to rounds first and counted once per round, so averages aren't weighted.
     """
-    ends = rounds.select("round_id", F.col("map").alias("server"), "started_us", (F.col("started_us") + F.col("duration_ms") * 1000).alias("ended_us"))
-    left = sessions.where("left_us is not null").select("server", "left_us")
-    width = 3_600_000_000
-    spans = ends.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("started_us") / width), F.floor(F.col("ended_us") / width))))
-    leaves = spans.join(left.withColumn("bucket", F.floor(F.col("left_us") / width)), ["server", "bucket"]).where("left_us between started_us and ended_us").groupBy("round_id").agg(F.count("*").alias("leaves"))
-    return rounds.join(leaves, "round_id", "left").groupBy("map").agg(F.count("*").alias("rounds"), (F.avg("duration_ms") / 1000).alias("avg_seconds"), F.avg("player_count").alias("avg_players"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("leaves"))
+    return rounds.join(leaves_during(rounds, sessions), "round_id", "left").groupBy("map").agg(F.count("*").alias("rounds"), (F.avg("duration_ms") / 1000).alias("avg_seconds"), F.avg("player_count").alias("avg_players"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("leaves"))

@@ -46,7 +46,11 @@ def longest_above(samples: DataFrame, entity: str, time: str, row_id: str, value
 def ping_metrics(samples: DataFrame, entity: str, time: str, row_id: str, value: str, clamp_s: float = 30.0, group: str | None = None) -> DataFrame:
     """Latency statistics per entity, or pooled per ``group`` with steps that never cross entities."""
     key = group or entity
-    steps = sample_steps(samples, entity, time, row_id, value, clamp_s)
+    w = Window.partitionBy(entity).orderBy(time, row_id).rowsBetween(Window.unboundedPreceding, 0)
+    held = F.coalesce(F.col("prev") > HIGH_LEVELS[0], F.lit(False))
+    steps = sample_steps(samples, entity, time, row_id, value, clamp_s).withColumn("total", F.sum(F.when(held, F.col("dt")).otherwise(0.0)).over(w))
+    # the time held without a break so far: what was added since the last sample that wasn't held
+    steps = steps.withColumn("held", F.when(held, F.col("total") - F.coalesce(F.max(F.when(~held, F.col("total"))).over(w), F.lit(0.0))))
     out = steps.groupBy(key).agg(
         F.count(value).alias("samples"),
         F.avg(value).alias("mean"),
@@ -58,11 +62,9 @@ def ping_metrics(samples: DataFrame, entity: str, time: str, row_id: str, value:
         *(F.count_if(F.col("step") >= s).alias(f"spikes_{s}") for s in SPIKE_STEPS),
         *(F.coalesce(F.sum(F.when(F.col("prev") > h, F.col("dt"))), F.lit(0.0)).alias(f"seconds_above_{h}") for h in HIGH_LEVELS),
         *([F.count_distinct(entity).alias("session_count")] if group else []),
+        F.coalesce(F.max("held"), F.lit(0.0)).alias("longest_high"),
     )
-    high = longest_above(samples, entity, time, row_id, value, HIGH_LEVELS[0], clamp_s)
-    if group:
-        high = samples.select(entity, group).distinct().join(high, entity).groupBy(group).agg(F.max("longest_high").alias("longest_high"))
-    return out.join(high, key, "left").withColumn("longest_high", F.coalesce("longest_high", F.lit(0.0)))
+    return out
 
 
 def ranked_percentiles(samples: DataFrame, entity: str, value: str, row_id: str, shares: Sequence[float] = PING_QUANTILES) -> DataFrame:

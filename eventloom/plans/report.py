@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import combat as cb
+from ..operators import scene as sc
 from ..operators import quality as ql
 from ..operators import timeseries as ts
 from ..sources.sinks import day_reports
@@ -49,6 +50,55 @@ def summaries(results: dict[str, DataFrame], keep: int = 50) -> DataFrame:
     return day_reports(days, "report_date", sections, ("network",))
 
 
+def scene_overview(interactions: DataFrame, objects: DataFrame, samples: DataFrame, windows: DataFrame, events: DataFrame, rules=sc.DEFAULT_RULES, cell: float = 50.0) -> DataFrame:
+    """What happened in a scene, section by section: section, key, n; the long sections have their most frequent keys only.
+
+    ``interactions``: interaction, player_id, target_id, x, y; ``objects``: object_id, name; ``samples``:
+    vx, vy, category, is_missile; ``windows``: window_id, t_us, entities; ``events``: event_type.
+    """
+    named = sc.with_objects(interactions, objects, rules)
+    key = lambda *cols: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols))
+
+    def section(name: str, counted: DataFrame, cols: list[str], keep: int | None = None) -> DataFrame:
+        rows = counted.select(key(*cols).alias("key"), F.col("n").cast("long").alias("n"))
+        rows = rows.orderBy(F.desc("n"), "key").limit(keep) if keep else rows
+        return rows.select(F.lit(name).alias("section"), "key", "n")
+
+    usage = named.withColumn("object_name", F.coalesce("object_name", F.lit("unknown")))
+    source = F.when(F.coalesce(F.col("player_id").cast("string"), F.lit("")) != "", F.concat(F.lit("player:"), F.col("player_id").cast("string"))).otherwise("scene_source")
+    environmental = ("object_damage_player", "object_damage_explosion", "object_impact_object")
+    life = ("object_created", "object_terminated", "projectile_created", "projectile_hit", "explosion_hit")
+    latest = windows.orderBy(F.desc("t_us"), F.desc("window_id")).limit(200)
+    sections = [
+        section("interactions_by_type", sc.counts_by(named, "interaction"), ["interaction"]),
+        section("object_categories", sc.counts_by(named, "category"), ["category"]),
+        section("interaction_heatmap", sc.heatmap(interactions.where("x is not null and y is not null"), cell).withColumns({c: F.col(c).cast("long") for c in ("cell_x", "cell_y")}), ["cell_x", "cell_y"], 500),
+        section("object_usage", sc.counts_by(usage, "object_name", "category"), ["object_name", "category"], 50),
+        section("interaction_graph", sc.counts_by(named.withColumn("source", source), "source", "interaction", "category"), ["source", "interaction", "category"], 100),
+        section("trajectory_clusters", sc.trajectory_clusters(samples, "category", "is_missile"), ["category", "speed_bucket", "octant", "is_missile"], 50),
+        section("lifecycle", sc.counts_by(events.where(F.col("event_type").isin(*life)), "event_type"), ["event_type"]),
+        section("episodes", latest.withColumn("n", F.col("entities")), ["window_id"]),
+        section("totals", interactions.agg(F.count("*").alias("n")).withColumn("name", F.lit("interactions")), ["name"]),
+        section("totals", samples.agg(F.count("*").alias("n")).withColumn("name", F.lit("samples")), ["name"]),
+        section("totals", interactions.agg(F.count_if(F.col("interaction").isin(*environmental)).alias("n")).withColumn("name", F.lit("environmental_damage")), ["name"]),
+    ]
+    out = sections[0]
+    for rows in sections[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+def close_episodes(episodes: DataFrame, now_us: int) -> DataFrame:
+    """Selected episodes created before ``now_us`` get it as their end, unless they have one."""
+    due = (F.col("status") == "selected") & (F.col("created_us") < now_us)
+    return episodes.withColumn("closed_us", F.coalesce("closed_us", F.when(due, F.lit(now_us))))
+
+
+def confirm_patterns(candidates: DataFrame, least: int = 12) -> DataFrame:
+    """Candidates seen ``least`` times (two at least) are confirmed."""
+    return candidates.withColumn("state", F.when(F.col("occurrences") >= max(2, least), "confirmed").otherwise(F.col("state")))
+
+
 def live_summary(minutes: DataFrame, sessions: DataFrame, events: DataFrame, checkpoint: int, now_us: int) -> DataFrame:
     """One row: population of the live window, freshness and incidents."""
     people = ql.with_identity(minutes, sessions).agg(F.count_distinct("session_id").alias("sessions"), F.count_distinct("identity_id").alias("identities"), F.count_distinct(F.when(F.col("identity_quality") == "unmapped_session", F.col("session_id"))).alias("unmapped"))

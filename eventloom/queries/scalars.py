@@ -10,6 +10,7 @@ from ..operators import minute as mi
 from ..operators import scene as sc
 from ..operators import sessions as se
 from ..operators import timeseries as ts
+from ..operators.quality import numbered
 from .shapes import query
 from .timeseries import rounded
 
@@ -74,7 +75,7 @@ def latest(s):
 @query("win16_player_labels", "select session_id, printf('Player %03d', row_number() over (order by session_id)) as label from (select distinct session_id from network_samples)")
 def labels(s):
     ids = s.network_samples.select("session_id").distinct()
-    return ids.select("session_id", F.format_string("Player %03d", F.row_number().over(Window.orderBy("session_id"))).alias("label"))
+    return numbered(ids, "session_id").select("session_id", F.format_string("Player %03d", "nth").alias("label"))
 
 
 @query("agg26_combat_pairs", "select attacker_id, victim_id, count(*) as events, round(sum(damage), 6) as damage from combat_events where attacker_id is not null and victim_id is not null group by 1, 2 having sum(damage) > 100")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import local_dir
 from ..streaming import events as st
 from .shapes import Shapes, query
 from .timeseries import rounded
 
 
 def _folder(s: Shapes) -> str:
-    base = s.spark.conf.get("spark.checkpoint.dir", None) or s.spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='eventloom-')}"
+    base = s.spark.conf.get("spark.checkpoint.dir", None) or s.spark.sparkContext.getCheckpointDir() or local_dir(s.spark)
     return f"{base.rstrip('/')}/eventloom-stream-{uuid.uuid4().hex[:12]}"
 
 

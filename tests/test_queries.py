@@ -1,4 +1,4 @@
-"""A spread of registered queries against their SQL on the smallest tables."""
+"""Every registered telemetry query against its SQL on the smallest tables."""
 
 import os
 
@@ -6,24 +6,30 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from eventloom.queries import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["agg02_ping_metrics", "win06_movement", "win10_visits", "agg17_player_day", "job01_death_attribution", "win12_motifs", "agg38_histogram_quantiles", "job07_chat_contexts", "src22_scene_interactions", "sc07_robust_z"]
+NAMES = sorted(catalog.SQL)
 
 
 def values(rows):
     return sorted(tuple("" if v is None else (repr(round(float(v), 5) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)) for v in r) for r in rows)
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", NAMES)
-def test_query_equals_sql(spark, name):
-    got = entry.queries()[name](spark, SF)
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
     for f in os.listdir(SF):
         con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
-    want = con.sql(entry.oracle_sql()[name])
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize("name", NAMES)
+def test_query_equals_sql(spark, duck, name):
+    got = catalog.QUERIES[name](spark, SF)
+    want = duck.sql(catalog.SQL[name])
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert values(got.select(*columns).collect()) == values(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
