@@ -5,16 +5,19 @@ come back at the end, smallest ids first.  Nodes are dealt to shards of about
 ``shard_rows`` by hash.  In a shard, nodes enter the graph in growing batches: a beam
 search from the entry point proposes neighbours, robust pruning keeps a diverse set
 (a candidate goes if a kept neighbour is closer to it by the factor ``alpha``), and
-reverse edges are added and pruned likewise.  Every query is then searched by beam in
+reverse edges are added and pruned likewise.  Every shard's graph is built once and its
+edges are staged with the vectors.  Every query is then searched by beam in
 every shard, in blocks of ``query_rows`` queries, and the shards' best are merged.
 
 For inner products the vectors get one more component that makes their norms equal, so
-that the largest inner product is the smallest distance.  Reported scores are exact
+that the largest inner product is the smallest distance; distances are doubles, which still
+tell short vectors apart beside one of a 10,000 times longer norm.  Reported scores are exact
 inner products of the original vectors in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take
-no part, nor do rows without an id; vectors of another length than the most frequent one
-take no part; with fewer candidates than ``k`` all are returned; ties go to smaller ids;
+no part, nor do rows without an id; a vector is compared with vectors of its own length
+only; with fewer candidates than ``k`` all are returned; ties go to smaller ids, within
+what the beam found;
 rows that repeat an id and vector are candidates like others, once per row, except for a
 query's own id; an empty table gives an empty result.
 """
@@ -32,12 +35,17 @@ from .staging import stage
 class RobustGraph:
     """A directed graph over the rows of ``points`` (equal norms) with at most ``degree`` edges out."""
 
-    def __init__(self, points: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, batch: int = 1024):
-        self.points = np.ascontiguousarray(points, np.float32)
+    def __init__(self, points: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, batch: int = 1024, edges: np.ndarray | None = None):
+        self.points = np.ascontiguousarray(points, np.float64)
         self.degree, self.beam, self.alpha = degree, beam, alpha
-        self.edges = np.full((len(points), degree), -1, np.int32)
+        self.edges = np.full((len(points), degree), -1, np.int32) if edges is None else edges
         center = self.points.mean(axis=0)
         self.entry = int(np.argmax(self.points @ center)) if len(points) else 0
+        if edges is None:
+            self._build(batch)
+
+    def _build(self, batch: int) -> None:
+        points = self.points
         order = np.random.default_rng(len(points)).permutation(len(points))
         order = np.concatenate([[self.entry], order[order != self.entry]]).astype(np.int64)
         at = 1
@@ -47,8 +55,8 @@ class RobustGraph:
             at = to
 
     def _distances(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """1 - inner product of each row's point with its row of candidate indices; inf for -1."""
-        d = 1 - np.einsum("qd,qcd->qc", rows, self.points[others], optimize=False)
+        """1 - inner product of each row's point with its row of candidate indices, ties by index; inf for -1."""
+        d = 1 - np.matmul(self.points[others], rows[:, :, None])[:, :, 0] + others * 1e-14
         d[others < 0] = np.inf
         return d
 
@@ -143,54 +151,80 @@ def _level(vectors: np.ndarray, longest: float) -> np.ndarray:
 
 
 def clean_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v (array<double>) and h (hash of v) of the rows that take part."""
+    """id, v (array<double>), its length and two hashes of it, of the rows that take part."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return rows.where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)).withColumn("h", F.xxhash64("v"))
+    rows = rows.where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+    positive = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
+    return rows.withColumn("v", positive).withColumns({"h": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), F.reverse("v")), "dim": F.size("v")})
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy())
+
+
+def _points(v: np.ndarray) -> np.ndarray:
+    return _level(v, float(np.sqrt((v**2).sum(axis=1)).max()))
+
+
+def build_graphs(nodes: DataFrame, shard_rows: int, degree: int, beam: int, alpha: float) -> DataFrame:
+    """Deal nodes (node, h, h2, v, dim) to shards and build each shard's graph: adds shard, shards and edges, staged."""
+    per = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    dealt = nodes.join(per, "dim").withColumn("shard", F.pmod(F.xxhash64("h"), F.col("shards")).cast("int"))
+
+    def build(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values(["node", "h"], kind="stable")
+        graph = RobustGraph(_points(_matrix(points["v"])), degree, beam, alpha)
+        return points.assign(place=np.arange(len(points)), edges=list(graph.edges))
+
+    schema = "dim int, node long, h long, h2 long, v array<double>, shards int, shard int, place int, edges array<int>"
+    return stage(dealt.select("dim", "node", "h", "h2", "v", "shards", "shard").groupBy("dim", "shard").applyInPandas(build, schema), "graph")
+
+
+def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, query_rows: int, degree: int, beam: int, alpha: float) -> DataFrame:
+    """query_id, node, h, h2 and score of the k + 1 best nodes found for each query (id, v, dim) in every shard of its length."""
+    blocks = max(1, -(-queries.count() // query_rows))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = graphs.withColumn("block", each)
+    shards = graphs.select(F.col("dim").alias("_dim"), F.col("shard").alias("_shard")).distinct()
+    right = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(shards, F.col("dim") == F.col("_dim"))
+    right = right.select("id", "v", "block", F.col("_dim").alias("dim"), F.col("_shard").alias("shard"))
+
+    def search(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "node": [], "h": [], "h2": [], "score": []})]
+        if len(points) and len(asked):
+            points = points.sort_values("place", kind="stable")
+            x = _matrix(points["v"])
+            graph = RobustGraph(_points(x), degree, beam, alpha, edges=_matrix(points["edges"]).astype(np.int32))
+            for part in np.array_split(np.arange(len(asked)), max(1, len(asked) // 256)):
+                q = _matrix(asked["v"].iloc[part])
+                flat = np.concatenate([q / np.sqrt((q**2).sum(axis=1, keepdims=True)), np.zeros((len(q), 1))], axis=1)
+                ids, _ = graph.search(flat, max(beam, k + 1))
+                exact = np.einsum("qd,qcd->qc", q, x[ids])
+                exact[ids < 0] = -np.inf
+                best = np.lexsort((ids, -exact), axis=1)[:, : k + 1]  # places ascend with ids
+                row = np.repeat(np.arange(len(q)), best.shape[1])
+                found, value = np.take_along_axis(ids, best, 1).ravel(), np.take_along_axis(exact, best, 1).ravel()
+                keep = found >= 0
+                nodes = points[["node", "h", "h2"]].iloc[found[keep]]
+                out.append(nodes.assign(query_id=asked["id"].to_numpy()[part][row[keep]], score=value[keep])[out[0].columns])
+        return pd.concat(out[1:] or out)
+
+    found = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInPandas(search, "query_id long, node long, h long, h2 long, score double")
+    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "node", "h")
+    return found.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k + 1).drop("nth")
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, query_every: int = 20, shard_rows: int = 20_000, query_rows: int = 20_000, beam: int = 160, degree: int = 32, alpha: float = 1.2) -> DataFrame:
     """query_id, rank, id and score of the ``k`` nearest rows of each row whose id is divisible by ``query_every``."""
     rows = stage(clean_vectors(vectors, id_col, vector_col), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is not None:
-        rows = rows.where(F.size("v") == sizes.d)
-    same = Window.partitionBy("h").orderBy("id")
+    same = Window.partitionBy("h", "h2").orderBy("id")
     # of equal vectors only the k + 1 smallest ids can be among the k nearest
     members = stage(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1), "members")
-    nodes = members.where("nth = 1").select("h", "v")
-    shards = max(1, -(-nodes.count() // shard_rows))
-    queries = rows.where(F.col("id") % query_every == 0).select("id", "v")
-    blocks = max(1, -(-queries.count() // query_rows))
-
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = nodes.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
-
-    def search(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(points) or not len(asked):
-            return pd.DataFrame({"query_id": [], "h": [], "score": []})
-        points = points.sort_values("h", kind="stable")
-        x = np.stack(points["v"].to_numpy())
-        graph = RobustGraph(_level(x, float(np.sqrt((x**2).sum(axis=1)).max())), degree, max(64, beam // 2), alpha)
-        out = []
-        for part in np.array_split(np.arange(len(asked)), max(1, len(asked) // 512)):
-            q = np.stack(asked["v"].to_numpy()[part])
-            flat = np.concatenate([q / np.sqrt((q**2).sum(axis=1, keepdims=True)), np.zeros((len(q), 1))], axis=1)
-            ids, _ = graph.search(flat.astype(np.float32), max(beam, k + 1))
-            exact = np.einsum("qd,qcd->qc", q, x[ids])
-            exact[ids < 0] = -np.inf
-            best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-            row = np.repeat(np.arange(len(q)), best.shape[1])
-            found, value = np.take_along_axis(ids, best, 1).ravel(), np.take_along_axis(exact, best, 1).ravel()
-            keep = found >= 0
-            out.append(pd.DataFrame({"query_id": asked["id"].to_numpy()[part][row[keep]], "h": points["h"].to_numpy()[found[keep]], "score": value[keep]}))
-        return pd.concat(out)
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id long, h long, score double")
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "h")
-    found = found.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k + 1).drop("nth")
-    ranked = found.join(members.select("h", "id"), "h").where("id <> query_id")
+    graphs = build_graphs(members.where("nth = 1").withColumnRenamed("id", "node"), shard_rows, degree, max(64, beam // 2), alpha)
+    queries = rows.where(F.col("id") % query_every == 0).select("id", "v", "dim")
+    found = search_graphs(graphs, queries, k, query_rows, degree, beam, alpha)
+    ranked = found.join(members.select("h", "h2", "id"), ["h", "h2"]).where("id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return ranked.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
