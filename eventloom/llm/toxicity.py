@@ -1,15 +1,15 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A text's terms are the hashes of its words (runs of letters, digits and bytes beyond
-ASCII, A-Z lowered) and of the words' first 4, 5 and 6 bytes; a term is present or not,
-so long texts score like short ones.  The model is a factorization machine: a bias, a
+A text's terms are its words (runs of letters, digits and bytes beyond ASCII, A-Z lowered)
+and the words' first 4, 5 and 6 bytes, hashed into a fixed space of ``2 ** BITS`` terms; a
+term is present or not, so long texts score like short ones.  The model is a factorization machine: a bias, a
 weight for each term and for each pair of terms the product of two learned vectors, so
 that pairs which only mean something together (an insult and whom it is aimed at) count.
 
 It is fitted on a bounded sample of the labelled rows (``per_class`` for each class, by a
-hash of the id, weighted back to their numbers).  The terms that the model knows are the
-``max_terms`` with the strongest association with the label (G statistic) in that sample.
-Scoring reads every whole text.
+hash of the id, weighted back to their numbers).  Every term of the space whose association with
+the label is significant in that sample (``min_texts`` texts; G of ``min_g``, 5 % over 2 ** BITS tests) has a weight and a vector,
+however many they are; the others' are zero.  Scoring reads every whole text.
 
 Defined results: a null or empty text has no terms and gets the bias' score; labels that are
 null or have no document don't count; without labels of both classes every score is the
@@ -32,6 +32,8 @@ from . import textcodes as tc
 from .staging import stage
 
 PREFIXES = (4, 5, 6)
+#: Terms are hashed to this many bits, which bounds the model.
+BITS = 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
@@ -41,7 +43,7 @@ _GAP = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 class FactorizationMachine:
     """score = sigmoid(bias + sum of weights + sum over pairs of the factors' products)."""
 
-    terms: np.ndarray  # sorted hashes
+    terms: np.ndarray  # sorted hashed terms with a weight
     bias: float
     weights: np.ndarray
     factors: np.ndarray
@@ -57,7 +59,7 @@ class FactorizationMachine:
 
 
 def text_terms(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and hashes of all terms, repeats included."""
+    """Texts and hashed terms of all words, repeats included."""
     buf, offs = tc.text_buffers(part.column("text"))
     buf = _LOWER[buf]
     a, e, first = tc.word_bounds(buf, offs, _GAP)
@@ -66,8 +68,8 @@ def text_terms(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     for n in PREFIXES:
         long = np.flatnonzero(e - a > n)
         owners.append(own[long])
-        terms.append(tc.span_hashes(buf, a[long], a[long] + n) ^ np.uint64(n))
-    return np.concatenate(owners), np.concatenate(terms).view(np.int64)
+        terms.append(tc.mix(tc.span_hashes(buf, a[long], a[long] + n) ^ np.uint64(n)))
+    return np.concatenate(owners), (np.concatenate(terms) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _distinct(own: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +89,17 @@ def _training_terms(batches):
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), part.column("weight"), pa.ListArray.from_arrays(pa.array(at), pa.array(terms))], names=["id", "y", "weight", "terms"])
 
 
+def loss_and_gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, list[np.ndarray]]:
+    """Mean weighted logistic loss with the penalty of weights and factors, and its gradients; ``x`` is 0 or 1."""
+    b, w, v = params
+    xv = x @ v
+    z = np.clip(b[0] + x @ w + 0.5 * (xv**2 - x @ (v**2)).sum(axis=1), -40, 40)
+    loss = (weight * (np.log1p(np.exp(z)) - y * z)).mean() + ridge / 2 * ((w**2).sum() + (v**2).sum())
+    g = (1 / (1 + np.exp(-z)) - y) * weight / len(y)
+    xg = x.T @ g
+    return loss, [np.array([g.sum()]), xg + ridge * w, x.T @ (g[:, None] * xv) - v * xg[:, None] + ridge * v]
+
+
 def fit_machine(slots: list[np.ndarray], y: np.ndarray, weight: np.ndarray, size: int, factors: int = 8, epochs: int = 30, rate: float = 0.05, ridge: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Weighted logistic loss by Adam over mini-batches; deterministic for a given order of rows."""
     rng = np.random.default_rng(seed)
@@ -95,16 +108,11 @@ def fit_machine(slots: list[np.ndarray], y: np.ndarray, weight: np.ndarray, size
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     weight = weight / weight.mean()
     for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
+        for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256, len(y) * size >> 25)):
             x = np.zeros((len(rows), size), np.float32)
             for i, r in enumerate(rows):
                 x[i, slots[r]] = 1
-            b, w, v = params
-            xv = x @ v
-            z = b[0] + x @ w + 0.5 * (xv**2 - x @ (v**2)).sum(axis=1)
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) * weight[rows] / len(rows)
-            xg = x.T @ g
-            grads = [np.array([g.sum()]), xg + ridge * w, x.T @ (g[:, None] * xv) - v * xg[:, None] + ridge * v]
+            _, grads = loss_and_gradients(params, x, y[rows], weight[rows], ridge)
             step += 1
             for p, d, m, s in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (d - m)
@@ -113,8 +121,8 @@ def fit_machine(slots: list[np.ndarray], y: np.ndarray, weight: np.ndarray, size
     return float(params[0][0]), params[1], params[2]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, max_terms: int = 2048, min_texts: int = 3, min_g: float = 20.0) -> FactorizationMachine:
-    """Fit on at most ``2 * per_class`` labelled documents; the model has at most ``max_terms`` terms."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, min_texts: int = 3, min_g: float = 30.0) -> FactorizationMachine:
+    """Fit on at most ``2 * per_class`` labelled documents."""
     rows = labelled.learnable(labels, id_col, label_col)
     sample = stage(labelled.class_sample(rows, per_class), "sample")
     share = sample.agg(F.sum(F.col("y") * F.col("weight")) / F.sum("weight"), F.min("y"), F.max("y")).first()
@@ -132,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = known.select("y", "weight", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(F.col("y") * F.col("weight")).alias("t"), F.sum((1 - F.col("y")) * F.col("weight")).alias("c"), F.count("*").alias("n"))
     part = lambda seen, of: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) * (all_t + all_c) / ((F.col("t") + F.col("c")) * of))).otherwise(F.lit(0.0))
     best = counts.where(F.col("n") >= min_texts).withColumn("g", 2 * (part("t", all_t) + part("c", all_c))).where(F.col("g") >= min_g)
-    terms = np.array(sorted(r.term for r in best.orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()), np.int64)
+    terms = np.array(sorted(r.term for r in best.select("term").collect()), np.int64)  # 2 ** BITS at most
     bias = float(np.log(all_t / all_c))
     if not len(terms):
         none.bias = bias
