@@ -11,8 +11,9 @@ A stratum with too few labelled documents gets no cutoff and loses no document.
 Everything is DataFrame expressions.  Words are ``[^\\x20\\x09-\\x0D]+``.
 
 Defined results: a null text has no words and fails the base rule; labels that are null or
-whose document is missing don't count; a label row that occurs twice counts once for each
-document row; an empty table gives an empty result.
+whose document is missing don't count; of several labels of one id the largest counts, once,
+for the document with the most words; an empty table gives an empty result; result columns
+take the place of input columns with their names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ RULES = {
     "repeats": ("n_repeat_words", "n_words", [5, 10, 15, 20, 25, 30, 35, 40, 45]),
     "length": ("word_chars", "n_words", [700, 800, 900, 1000, 1200, 1500, 2000, 3000, 5000]),
 }
-#: Strata tables up to this many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 10_000
 
 _STATS = r"""
 transform(array(coalesce(text, '')), t ->
@@ -87,8 +86,10 @@ def select_cutoffs(stats: DataFrame, labels: DataFrame, id_col: str, stratum: st
     ``risk`` is shared out evenly to the rules, so the refused share of good documents of
     a stratum stays below it for all rules together.
     """
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id"))
-    held = stats.join(good, stats[id_col] == good["_id"]).where(~base_failed()).select(F.col(stratum).alias("stratum"), *_reached())
+    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y")).where("_y = 1")
+    needed = [stratum, *dict.fromkeys(c for a, b, _ in RULES.values() for c in (a, b))]
+    labelled = stats.join(good, stats[id_col] == good["_id"]).groupBy("_id").agg(F.max_by(F.struct(*needed), F.struct("n_words", *needed)).alias("s"))
+    held = labelled.select("s.*").where(~base_failed()).select(F.col(stratum).alias("stratum"), *_reached())
     pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"r_{r}").alias("reached")) for r in RULES)))
     counted = held.select("stratum", pairs.alias("p")).groupBy("stratum", "p.rule", "p.reached").count()
     grid = max(len(c) for _, _, c in RULES.values())
@@ -121,8 +122,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     stats = stage(text_stats(docs.select(id_col, F.col(stratum).cast("string").alias(stratum), text_col), text_col).drop(text_col), "stats")
     holdout = labels.where(F.crc32(F.col(id_col).cast("string")) % 5 != 0)
     cutoffs = stage(select_cutoffs(stats, holdout, id_col, stratum, label_col, risk, level), "cutoffs")
-    if cutoffs.count() <= BROADCAST_ROWS:
-        cutoffs = F.broadcast(cutoffs)
     refused = F.lit(False)
     for r, (a, b, _) in RULES.items():
         refused = refused | F.coalesce(100 * F.col(a) >= F.col(f"cut_{r}") * F.col(b), F.lit(False))
