@@ -9,7 +9,8 @@ Groups above ``group_tolerance`` of a shard are cut inside, so that a very frequ
 can't unbalance a shard.  Then the rows are exchanged once.
 
 Defined results: a null text is empty (size 1); rows with null or repeated ids are rows
-like others; an empty table gives an empty result.
+like others (rows equal in id and text stay together); an empty table gives an empty
+result; size, shard and slot take the place of input columns with their names.
 """
 
 from __future__ import annotations
@@ -91,21 +92,23 @@ def find_splitters(keys: DataFrame, shards: int, group_tolerance: float = 0.05)
     return [found[j] for j in sorted(found)]
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", group_tolerance: float = 0.05, part_rows: int = 50_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", group_tolerance: float = 0.05, part_bytes: int = 64 << 20) -> DataFrame:
     """Add size, shard and slot (gapless within a shard) to the rows, shards of near equal bytes.
 
-    A shard is dealt in parts of about ``part_rows`` rows; rows of one part lie in one
-    partition of the result, in key order.
+    A group of equal texts lies in one shard if it has at most ``group_tolerance`` of a shard's
+    bytes; a larger one may be dealt to several.  A shard is dealt in parts of about
+    ``part_bytes`` bytes; rows of one part lie in one partition of the result, in key order.
     """
     keys = stage(docs.select(order_key(F.col(id_col), F.col(text_col)).alias("key"), size_of(F.col(text_col)).alias("size")), "keys")
     splitters = find_splitters(keys, shards, group_tolerance)
     shard = sum((F.when(F.col("_key") > k, 1).otherwise(0) for k in splitters), F.lit(0))
-    parts = max(1, -(-keys.count() // (shards * part_rows)))
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // (shards * part_bytes)))
     part = F.shiftright(F.col("_key").bitwiseAND((1 << ID_BITS) - 1) * parts, ID_BITS).cast("int")
     counts = keys.withColumnRenamed("key", "_key").groupBy(shard.alias("shard"), part.alias("_part")).count()
     ahead = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_start"))
-    rows = docs.withColumns({"size": size_of(F.col(text_col)), "_key": order_key(F.col(id_col), F.col(text_col))})
+    rows = docs.drop("shard", "slot").withColumns({"size": size_of(F.col(text_col)), "_key": order_key(F.col(id_col), F.col(text_col))})
     rows = rows.withColumns({"shard": shard.cast("int"), "_part": part})
     own = Window.partitionBy("shard", "_part").orderBy("_key", F.col(id_col), "size")
     rows = rows.withColumn("_nth", F.row_number().over(own) - 1)

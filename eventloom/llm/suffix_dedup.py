@@ -24,7 +24,7 @@ equals it, and no task holds an unbounded group.
 
 Defined results: a null text is empty; null ids and rows that repeat an id are
 documents of their own (equal texts remove each other); an empty table gives an
-empty result.
+empty result; result columns take the place of input columns with their names.
 """
 
 from __future__ import annotations
@@ -252,7 +252,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spans = stage(marks.groupBy("doc", "tag").agg(F.collect_set(span).alias("_spans")), "spans")
     discard(runs, contexts, shared)
 
-    whole = docs.select(*key_columns(id_col, text_col), F.col(text_col).cast("string").alias("_text"), F.struct(*(keep_columns or [id_col])).alias("_row"))
+    keep = [c for c in keep_columns or [id_col] if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    whole = docs.select(*key_columns(id_col, text_col), F.col(text_col).cast("string").alias("_text"), F.struct(*keep).alias("_row"))
     joined = whole.join(spans, ["doc", "tag"], "left").select("_row", "_text", "_spans")
     schema = joined.select("_row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
     return joined.mapInArrow(_cut_bytes(window), schema).select("_row.*", "n_bytes", "n_removed", "n_spans", "kept")

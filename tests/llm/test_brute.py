@@ -2,16 +2,19 @@
 
 import os
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from eventloom.llm import quality_classifier, toxicity
+from eventloom.llm import quality_classifier, quality_rules, toxicity
 from eventloom.llm.components import connected_components
 from eventloom.llm.ngram_join import link_components
 from eventloom.llm.piece_lattice import DEFAULT_MODEL, LITERAL, MARK, PieceLattice, encode_texts
 from eventloom.llm.quality_rules import binomial_tail
-from eventloom.llm.sharding import find_splitters, shard_documents
+from eventloom.llm.sharding import find_splitters, order_key, shard_documents
 from eventloom.llm.shingle_trie import block_components
 from eventloom.llm.substring_dedup import FingerprintIndex, keyed, remove_known_windows
 from eventloom.llm.suffix_dedup import remove_repeated_bytes
@@ -211,7 +214,7 @@ def test_binomial_tail(spark):
 def test_shards_are_even_and_keep_small_groups(spark):
     rnd = random.Random(8)
     rows = [(i, f"t{rnd.randrange(200)} " * rnd.randrange(1, 30)) for i in range(800)] + [(1000 + i, "hot " * 20) for i in range(500)]
-    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, part_rows=40).collect()
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, part_bytes=4000).collect()
     sizes, total = [0] * 8, sum(r.size for r in got)
     for r in got:
         sizes[r.shard] += r.size
@@ -295,6 +298,159 @@ def test_graph_recall(spark):
     assert hits / (75 * 10) >= 0.9
 
 
+def exact_nearest(x, ids, q, k):
+    s = x @ x[q]
+    order = sorted((i for i in range(len(x)) if ids[i] != ids[q]), key=lambda i: (-s[i], ids[i]))[:k]
+    return [(ids[i], s[i]) for i in order]
+
+
+def test_graph_ties_and_lengths(spark):
+    rng = np.random.default_rng(14)
+    x = rng.integers(-3, 4, (2000, 6)).astype(float)
+    x[0] = 1.0
+    x[1] *= 10_000
+    rows = [(i, v.tolist()) for i, v in enumerate(x) if v.any()] + [(20_000, [1.0, 2.0]), (20_001, [3.0, 1.0]), (20_002, [-1.0, 0.0])]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10, shard_rows=1200, query_rows=40).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert [i for _, i, _ in sorted(got.pop(20_000))] == [20_001, 20_002]
+    ids = [i for i, _ in rows[:-3]]
+    y = np.array([v for _, v in rows[:-3]])
+    for q, found in got.items():
+        assert [(i, s) for _, i, s in sorted(found)] == exact_nearest(y, ids, ids.index(q), 10)
+
+
+def test_cutoffs_against_a_plain_selection(spark):
+    from fractions import Fraction
+    from math import comb
+
+    rnd, rows, labels = random.Random(15), [], []
+    for i in range(3000):
+        good = i % 4 != 0
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+        for k in range(rnd.choice([0, 0, 1, 2]) if good else rnd.choice([0, 5, 20])):
+            words[k] = "#$%" * rnd.randrange(1, 12)
+        rows.append((i, " ".join(words), "en" if i % 3 else None))
+        labels.append((i, int(good)))
+        if i % 50 == 0:
+            labels.append((i, 0))  # the larger of an id's labels counts, once
+    risk, level = 0.05, 0.05
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"), risk=risk, level=level)
+    docs = {r.doc_id: r for r in got.collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _, _ in rows}
+    want = {}
+    for stratum in ("en", None):
+        held = [docs[i] for i, _, lang in rows if lang == stratum and i % 4 and fold[i] and not docs[i].base_failed]
+        for rule, (a, b, cuts) in quality_rules.RULES.items():
+            chosen = None
+            for cut in reversed(cuts):  # lenient to strict, until one is not safe
+                k = sum(100 * r[a] >= cut * r[b] for r in held)
+                share = Fraction(risk) / 4
+                if k >= len(held) * share or sum(comb(len(held), j) * share**j * (1 - share) ** (len(held) - j) for j in range(k + 1)) > Fraction(level) / 8:
+                    break
+                chosen = cut
+            want[stratum, rule] = chosen
+    assert sum(c is not None for c in want.values()) >= 6 and len({want[s, "symbols"] for s in ("en", None)} - {None}) >= 1
+    for r in docs.values():
+        assert all(r[f"cut_{rule}"] == want[r.lang, rule] for rule in quality_rules.RULES)
+        refused = any(want[r.lang, rule] is not None and 100 * r[a] >= want[r.lang, rule] * r[b] for rule, (a, b, _) in quality_rules.RULES.items())
+        assert r.kept == (not r.base_failed and not refused)
+    assert any(not r.kept and not r.base_failed for r in docs.values())
+
+
+def test_ridge_and_calibration_against_numpy(spark):
+    rnd = random.Random(16)
+    rows, labels = [], []
+    for i in range(600):
+        y = rnd.random() < 0.5
+        rows.append((i, " ".join(rnd.choices(["alpha", "beta", "gamma"] if y else ["x1", "yy", "#", "ALL"], k=rnd.randrange(5, 60)))))
+        labels.append((i, int(y if rnd.random() < 0.9 else not y)))
+    described = quality_classifier.describe(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    model = quality_classifier.train(described, spark.createDataFrame(labels, "doc_id long, quality int"), features=32)
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in rows])
+    y = np.array([q for _, q in labels], float)
+    x = np.array([r.x for r in described.orderBy("id").collect()])
+    learned, fit, calibrate = fold != 0, (fold != 0) & (fold != 1), fold == 1
+    assert np.allclose(model.mean, x[learned].mean(axis=0)) and np.allclose(model.scale, np.maximum(x[learned].std(axis=0), 1e-6))
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    f = np.hstack([np.sqrt(2 / 32) * np.cos(z @ model.projection + model.phase), np.ones((len(x), 1))])
+    a = f[fit].T @ f[fit]
+    want = np.linalg.solve(a + 1e-3 * np.eye(33) * max(1.0, fit.sum() / 1000), f[fit].T @ y[fit])
+    assert np.allclose(model.weights, want, rtol=1e-6, atol=1e-6)
+    raw = f @ model.weights
+    bins = np.clip(np.floor((raw + 1) / 3 * quality_classifier.BINS), 0, quality_classifier.BINS - 1)
+    cells = [(raw[calibrate & (bins == b)].mean(), (calibrate & (bins == b)).sum(), y[calibrate & (bins == b)].sum()) for b in np.unique(bins[calibrate])]
+    n, p = np.array([c[1] for c in cells], float), np.array([c[2] for c in cells])
+    # isotonic regression is the largest of the smallest means around each place
+    mean = lambda i, j: p[i : j + 1].sum() / n[i : j + 1].sum()
+    level = [max(min(mean(i, j) for j in range(k, len(n))) for i in range(k + 1)) for k in range(len(n))]
+    got = []
+    for knot, value in zip(*quality_classifier.isotonic(np.array([c[0] for c in cells]), n, p), strict=True):
+        got.append((knot, value))
+    assert np.allclose([k for k, _ in got], model.knots) and np.allclose([v for _, v in got], model.levels)
+    assert len(np.unique(np.round(level, 9))) == len(got)
+
+
+def test_machine_gradients_against_differences():
+    rng = np.random.default_rng(17)
+    x, y, weight = (rng.random((12, 7)) < 0.5).astype(float), (rng.random(12) < 0.5).astype(float), rng.uniform(0.5, 2, 12)
+    params = [rng.normal(size=1), rng.normal(size=7), rng.normal(size=(7, 3))]
+    _, grads = toxicity.loss_and_gradients(params, x, y, weight, 0.01)
+    for k, g in enumerate(grads):
+        for at in np.ndindex(g.shape):
+            ends = []
+            for step in (1e-6, -1e-6):
+                moved = [p.copy() for p in params]
+                moved[k][at] += step
+                ends.append(toxicity.loss_and_gradients(moved, x, y, weight, 0.01)[0])
+            assert abs((ends[0] - ends[1]) / 2e-6 - g[at]) < 1e-6
+
+
+def test_machine_learns_pairs_and_scores_like_its_formula(spark):
+    rnd, rows, labels = random.Random(18), [], []
+    filler = [f"f{k}" for k in range(300)]
+    for i in range(1500):  # only both words together are toxic
+        insult, group = rnd.random() < 0.5, rnd.random() < 0.5
+        words = rnd.sample(filler, 12) + ["insultword"] * insult + ["groupname"] * group
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(insult and group)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    truth = dict(labels)
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == bool(truth[i]) for i in held]) >= 0.97
+    own, terms = toxicity.text_terms(pa.record_batch([pa.array([rows[0][1]])], ["text"]))
+    slots = np.flatnonzero(np.isin(model.terms, terms))
+    pairs = sum(model.factors[a] @ model.factors[b] for a in slots for b in slots if a < b)
+    assert abs(1 / (1 + np.exp(-(model.bias + model.weights[slots].sum() + pairs))) - got[0]) < 1e-9
+
+
+def test_shards_against_a_full_sort(spark):
+    rnd = random.Random(19)
+    rows = [(i, f"t{rnd.randrange(300)} " * rnd.randrange(1, 40)) for i in range(1200)] + [(5000 + i, "hot " * 30) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shard_documents(df, 8, part_bytes=2000).withColumn("key", order_key(F.col("doc_id"), F.col("text"))).orderBy("key").collect()
+    assert [r.shard for r in got] == sorted(r.shard for r in got)
+    total, tolerance, sofar = sum(r.size for r in got), 0.05, 0
+    group = {}
+    for r in got:
+        group[r.text] = group.get(r.text, 0) + r.size
+    for a, b in zip(got[:-1], got[1:], strict=True):
+        sofar += a.size
+        if a.shard == b.shard:
+            continue
+        assert b.shard == a.shard + 1
+        goal = b.shard * total / 8
+        small = a.text == b.text and group[a.text] <= tolerance * total / 8
+        assert not small  # a group within the tolerance is never cut
+        near = max(group[x.text] if group[x.text] <= tolerance * total / 8 else x.size for x in (a, b))
+        assert abs(sofar - goal) <= near
+    whole = {t: {r.shard for r in got if r.text == t} for t, size in group.items() if size <= tolerance * total / 8}
+    assert all(len(s) == 1 for s in whole.values()) and len({r.shard for r in got if r.text.startswith("hot")}) > 1
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))

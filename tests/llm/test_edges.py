@@ -14,13 +14,15 @@ from eventloom.llm.suffix_dedup import remove_repeated_bytes
 from eventloom.llm.vector_graph import nearest
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, score double, _row string, d long"
+# columns that operators add or use themselves
+EXTRA = {"size": "long", "shard": "int", "slot": "long", "score": "double", "ids": "string", "nbest_ids": "int", "round_trip": "string", "target": "string", "taken": "string", "kept": "string", "kept_text": "string", "n_words": "string", "n_removed": "string", "n_spans": "string", "n_bytes": "string", "_row": "string", "d": "long", "tag": "string", "doc": "string", "node": "string", "n": "string", "key": "string"}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} {t}" for c, t in EXTRA.items())
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     texts = [(1, "alpha beta gamma " * 6, "en", "a"), (1, "alpha beta gamma " * 6, "en", "a"), (2, None, None, None), (None, "no id here at all", "en", "b"), (3, "", "en", "b"), (4, " \n\t ", "de", "b"), (5, LONG, "en", "a"), (6, LONG + " tail", "en", "a"), (7, "ünïcödé ☃ " * 5, "fr", "b"), (8, "one two", None, "a"), (2, "another text with the same id", "en", "b")]
-    return spark.createDataFrame([(i, t, g, s, len(t or ""), 0, 0, 0.0, "r", 0) for i, t, g, s in texts], SCHEMA).repartition(2).cache()
+    return spark.createDataFrame([(i, t, g, s, len(t or ""), *({"string": "x", "double": -5.0}.get(k, -5) for k in EXTRA.values())) for i, t, g, s in texts], SCHEMA).repartition(2).cache()
 
 
 @pytest.fixture(scope="module")
@@ -62,13 +64,15 @@ def test_quality_classifier(docs, labels):
 def test_toxicity(docs, labels):
     for rows in (labels, labels.limit(0)):
         scored = toxicity.score(docs, toxicity.train(docs, rows))
-        got = scored.collect()
-        assert len(got) == 11 and all(0 <= r.score <= 1 for r in got)
+        got = scored.collect()  # the model's score takes the place of the input's -5
+        assert len(got) == 11 and all(0 <= r.score <= 1 for r in got) and sorted(scored.columns) == sorted(docs.columns)
     assert toxicity.score(empty(docs), toxicity.train(empty(docs), labels)).count() == 0
 
 
 def test_substring_dedup(docs):
-    got = {(r.doc_id, r.n_words): r.n_removed for r in remove_known_windows(docs).collect()}
+    rows = remove_known_windows(docs, keep_columns=docs.columns)
+    assert sorted(rows.columns) == sorted(docs.columns)
+    got = {(r.doc_id, r.n_words): r.n_removed for r in rows.collect()}
     assert got[(6, 30_001)] == 30_000 and got[(5, 30_000)] == 0 and got[(1, 18)] == 0 and got[(2, 0)] == 0
     assert remove_known_windows(empty(docs)).count() == 0
 
@@ -90,18 +94,18 @@ def test_ngram_join(docs):
 
 
 def test_sharding(docs):
-    rows = shard_documents(docs.drop("size", "shard"), 4).collect()
+    rows = shard_documents(docs, 4).collect()
     slots = {}
     for r in rows:
         slots.setdefault(r.shard, []).append(r.slot)
+        assert r.size == len((r.text or "").encode()) + 1
     assert len(rows) == 11 and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert shard_documents(empty(docs).drop("size", "shard"), 4).count() == 0
+    assert shard_documents(empty(docs), 4).count() == 0
 
 
 @pytest.mark.skipif(not __import__("os").path.exists(DEFAULT_MODEL), reason="no vocabulary here")
 def test_pieces(docs):
-    rows = encode_texts(docs, keep_columns=["doc_id", "text"])
-    got = decode_ids(rows).collect()
+    got = decode_ids(encode_texts(docs)).collect()
     assert len(got) == 11 and all(r.round_trip and r.decoded == (r.text or "") for r in got)
     assert encode_texts(empty(docs)).count() == 0
 
@@ -118,8 +122,55 @@ def test_vectors(spark):
 
 def test_pipeline_on_odd_rows(spark, docs, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    base.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "mixing", "piece_encoding"]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "ids", "round_trip"} <= set(out.columns) and out.where("not round_trip").count() == 0
+
+
+def test_null_ids_with_colliding_hashes_keep_their_own_cuts(spark):
+    seen, pair = {}, None
+    texts = (f"{k:x} text" for k in range(400_000))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "hash(t) h").collect()
+    for r in rows:  # two short texts with one 32-bit hash
+        if r.h in seen:
+            pair = (seen[r.h], r.t)
+            break
+        seen[r.h] = r.t
+    assert pair
+    long = " ".join(f"word{k}" for k in range(300))
+    df = spark.createDataFrame([(None, pair[0]), (None, pair[1]), (None, long), (None, long + " and more"), (1, long)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in remove_known_windows(df).collect()) == [0, 0, 0, 300, 300]
+    assert sorted(r.n_removed for r in remove_repeated_bytes(df).collect()) == [0, 0, *[len(long)] * 3]
+    assert sorted(r.n_shingles for r in link_components(df).collect()) == [1, 1, 298, 298, 300]
+
+
+def test_very_long_texts(spark):
+    base = " ".join(f"w{k % 9973}x{k % 7919}" for k in range(700_000))  # 8 MB, many pieces
+    other = "start " + base[3_000_000:6_000_000] + " end"
+    df = spark.createDataFrame([(1, base), (2, other), (3, "=" * 3_000_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_known_windows(df, batches=2).collect()}
+    inner = len(base[3_000_000:6_000_000].split())
+    assert got[1][0] == 700_000 and inner - 2 <= got[2][1] <= inner and got[3] == (1, 0)
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in remove_repeated_bytes(df).collect()}
+    assert 3_000_000 <= cut[2][1] <= 3_000_002 and cut[3] == (3_000_000, 3_000_000)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in link_components(df).collect()}
+    assert found[1][1] == 1 and found[2][1] == 2 and found[3] == (1, 3)
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from eventloom.llm import staging
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = spark.newSession().conf
+        sparkContext = Cluster()
+
+    Session.conf.unset("spark.checkpoint.dir")
+    with pytest.raises(RuntimeError):
+        staging.shared_dir(Session())
