@@ -18,8 +18,8 @@ from eventloom.llm.session import table
 from eventloom.llm.staging import stage
 from eventloom.llm.suffix_dedup import remove_repeated_bytes
 
-#: A name that no column of ``documents`` has.
-TOXICITY = "_corpus_pipeline_toxicity"
+#: Names that no column of ``documents`` has.
+TOXICITY, ROW, TIMES, COPY, ID = (f"_corpus_pipeline_{n}" for n in ("toxicity", "row", "times", "copy", "id"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,20 +44,24 @@ def cut_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Bytes of a character that was cut in two go as well.
     """
-    cut = remove_repeated_bytes(docs, keep_columns=docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.try_validate_utf8(F.col("kept").cast("string"))).otherwise(F.col("text"))
-    text = F.coalesce(text, F.make_valid_utf8(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")))
-    cut = cut.withColumn("text", F.when(F.col("text").isNotNull(), text)).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias(ROW))
+    cut = remove_repeated_bytes(rows, keep_columns=[ROW])
+    before, kept = F.col(f"{ROW}.text"), F.col("kept").cast("string")
+    text = F.when(F.col("n_removed") > 0, F.try_validate_utf8(kept)).otherwise(before)
+    text = F.coalesce(text, F.make_valid_utf8(F.regexp_replace(F.make_valid_utf8(kept), "�", "")))
+    cut = cut.withColumn("kept", F.when(before.isNotNull(), text))
+    stay = (F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]")
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.where(stay).select(*(changed.get(c, F.col(f"{ROW}.{c}")).alias(c) for c in docs.columns))
 
 
 def mix_by_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole, once for each epoch; a source's last one if half of it is taken."""
     taken = mix_sources(docs.select("doc_id", "text", "source"))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).otherwise(1)
-    times = taken.groupBy("doc_id").agg(F.max(copies).alias("_times"))
-    mixed = docs.join(times.where("_times > 0").withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = taken.groupBy("doc_id").agg(F.max(copies).alias(TIMES)).where(F.col(TIMES) > 0)
+    mixed = docs.join(times.withColumnRenamed("doc_id", ID), F.col("doc_id").eqNullSafe(F.col(ID)))
+    return mixed.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
