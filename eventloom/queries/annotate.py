@@ -140,7 +140,16 @@ def admission(s):
     return an.admit_first_fit(rows, "lang", ["doc_id"], "tokens", 10_000).select("doc_id", "spent", "admitted")
 
 
-@query("win19_greedy_admission")
+@query(
+    "win19_greedy_admission",
+    """with recursive d as (select doc_id, concat_ws(':', source, lang) as queue, greatest(1, ceil(strlen(text) / 4))::bigint as tokens, strlen(text)::int as size from documents),
+o as (select *, row_number() over (partition by queue order by doc_id) as k from d),
+r as (select queue, doc_id, tokens, size, k, tokens <= 10000 and size <= 40000 as admitted, case when tokens <= 10000 and size <= 40000 then 1 else 0 end as n, case when tokens <= 10000 and size <= 40000 then tokens else 0 end as t, case when tokens <= 10000 and size <= 40000 then size else 0 end as b from o where k = 1
+union all select o.queue, o.doc_id, o.tokens, o.size, o.k, r.n < 20 and r.t + o.tokens <= 10000 and r.b + o.size <= 40000,
+ r.n + case when r.n < 20 and r.t + o.tokens <= 10000 and r.b + o.size <= 40000 then 1 else 0 end, r.t + case when r.n < 20 and r.t + o.tokens <= 10000 and r.b + o.size <= 40000 then o.tokens else 0 end, r.b + case when r.n < 20 and r.t + o.tokens <= 10000 and r.b + o.size <= 40000 then o.size else 0 end
+ from r join o on o.queue = r.queue and o.k = r.k + 1)
+select doc_id, queue, tokens, size, admitted from r""",
+)
 def greedy(s):
     rows = s.documents.select("doc_id", F.concat_ws(":", "source", "lang").alias("queue"), an.estimated_tokens(F.col("text")).alias("tokens"), F.octet_length("text").alias("size"))
     return an.admit_greedy(rows, "queue", "doc_id", "tokens", "size", 20, 10_000, 40_000)
