@@ -167,22 +167,11 @@ def fanned(s):
     return read("types", "event_type").unionByName(read("days", "round_id"))
 
 
-@query("src01_decoded_values", "select event_id, props as value from events")
+@query("src01_decoded_values", "select props as value from events")
 def decoded(s):
-    lines = s.events.select("event_id", F.concat(F.lit("string[]|slot_"), F.col("event_id").cast("string"), F.lit("|"), F.base64(F.encode("props", "UTF-8")), F.lit(r"||\0\0")).alias("line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", "[\r\n]", ""))
-    found = ev.decode_spool(lines, "line").select("value")
-    # values don't name their event, so the same number of each is what can be told
-    return found.join(s.events.select("event_id", F.col("props").alias("value")).dropDuplicates(["value"]).select("value"), "value", "left_semi").transform(lambda v: _numbered_like(s, v))
-
-
-def _numbered_like(s, values):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("value")
-    left = values.withColumn("k", F.row_number().over(w.orderBy("value")))
-    right = s.events.select("event_id", F.col("props").alias("value")).withColumn("k", F.row_number().over(w.orderBy("event_id")))
-    return left.join(right, ["value", "k"]).select("event_id", "value")
+    """Values written as spool lines between empty slots, decoded again."""
+    line = F.concat(F.lit("string[]|slot_"), F.col("event_id").cast("string"), F.lit("|"), F.base64(F.encode("props", "UTF-8")), F.lit(r"||\0\0"))
+    return ev.decode_spool(s.events.select(F.regexp_replace(line, "[\r\n]", "").alias("line")), "line").select("value")
 
 
 def _more_events(s):
