@@ -105,7 +105,7 @@ class RobustGraph:
         order = np.argsort(dist, axis=1, kind="stable")
         candidates, dist = np.take_along_axis(candidates, order, 1), np.take_along_axis(dist, order, 1)
         vectors = self.points[candidates]
-        between = 1 - np.einsum("qad,qbd->qab", vectors, vectors, optimize=True)
+        between = 1 - np.matmul(vectors, vectors.transpose(0, 2, 1))
         open_, out = np.isfinite(dist), np.full((len(nodes), self.degree), -1, np.int32)
         rows = np.arange(len(nodes))
         for k in range(self.degree):
