@@ -271,12 +271,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(edges).withColumnRenamed("component", "cluster")
     items = F.size("grams").cast("long")
     members = stage(found.join(sets, "node").withColumn("items", items), "members")
+    scratch = [base, sets, members]
     per = members.groupBy("cluster").agg(F.ceil(F.sum("items") / block_items).cast("int").alias("pieces"))
     members = members.join(per, "cluster").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
 
     def joined(rows: DataFrame) -> DataFrame:
         rows = rows.select("block", "node", "n", "grams", "times").repartition("block").sortWithinPartitions("block")
-        return stage(rows.mapInArrow(_join_blocks(num, den), "u long, v long"), "links")
+        scratch.append(stage(rows.mapInArrow(_join_blocks(num, den), "u long, v long"), "links"))
+        return scratch[-1]
 
     every = F.sequence(F.lit(0), F.col("pieces") - 1)
     dealt = members.withColumn("piece", F.explode(F.when(F.col("node") == F.col("cluster"), every).otherwise(F.array("piece"))))
@@ -295,7 +297,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = base.select("doc", "n", "node").join(labels, "node", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "node"))
     rows = stage(rows.select("doc", "n", own.alias("component")), "rows")
-    discard(base, sets)
+    discard(*scratch)
     smallest = rows.groupBy("component").agg(F.min("doc").alias("least"))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     out = rows.join(smallest, "component", "left").select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("least").alias("least"), "doc")
