@@ -9,7 +9,7 @@ Consecutive windows with one anchor form a *run*:
 * ``d``    digest of all items that the run's windows cover (and of its length),
 * ``at``   first window's start and, in the lower half, the number of windows (byte runs:
   the anchor's offset in the upper 16 bits of that half),
-* ``hs``   (rows of the word index) a hash of each window, independent of ``f``.
+* ``hs``   (rows of the word index) a hash of each window (8 bytes), independent of ``f``.
 
 Runs with one ``f`` and ``d`` hold the same windows, so most repeats are settled by one
 row for several windows.  Long texts are cut into pieces; a run that a piece's
@@ -24,7 +24,7 @@ import pyarrow as pa
 from . import textcodes as tc
 
 RUN_SCHEMA = "f long, d long, doc long, tag long, at long"
-INDEX_SCHEMA = "f long, d long, doc long, hi long, hs array<long>"
+INDEX_SCHEMA = "f long, d long, doc long, hi long, hs binary"
 ANCHOR_SHIFT = 16
 PIECE_WORDS = 1 << 17
 PIECE_BYTES = 1 << 19
@@ -96,12 +96,25 @@ def word_runs(window: int, gram: int, windows: bool = False):
                     values = tc.gram_hashes(others[low:high], window, True)[np.flatnonzero(ok)]
                     begin = np.cumsum(count) - count
                     taken, ends = tc.gather(values, begin[use], count[use])
-                    hs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(taken.view(np.int64)))
+                    hs = pa.Array.from_buffers(pa.binary(), len(use), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(taken)])
                     yield pa.RecordBatch.from_arrays([pa.array(f[use]), pa.array(d[use]), pa.array(doc[use]), pa.array(hi), hs], names=["f", "d", "doc", "hi", "hs"])
 
     return run
 
 
+def single_windows(batches):
+    """For mapInArrow over (f, d, doc, new, hs): a row for each window."""
+    for batch in batches:
+        hs = batch.column("hs")
+        offs = np.frombuffer(hs.buffers()[1], np.int32, len(hs) + 1, hs.offset * 4).astype(np.int64)
+        h = np.frombuffer(hs.buffers()[2], np.uint8)[offs[0] : offs[-1]].copy().view(np.int64) if offs[-1] > offs[0] else np.zeros(0, np.int64)
+        count = np.diff(offs) // 8
+        row = np.repeat(np.arange(len(hs)), count)
+        off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        same = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("f", "d", "doc", "new")]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(off.astype(np.int32)), pa.array(h)], names=["f", "d", "doc", "new", "off", "h"])
+
+
 def byte_runs(window: int, gram: int):
     """For mapInArrow over (doc, tag, text): a row for each run of byte windows."""
 

@@ -4,9 +4,9 @@ The index is a folder of immutable runs.  A run holds, for one batch of document
 fingerprint once with the smallest document that has it, as a Parquet table bucketed and
 sorted by fingerprint.  A new batch is fingerprinted and written as a run of its own,
 merge-joined bucket by bucket with the runs before it (history isn't exchanged: what a
-batch moves grows with the batch), verified and judged; when there are more than
-``max_runs`` runs they are compacted into one.  An index stays where it is and can be
-opened again by its path.
+batch moves grows with the batch), verified and judged; if there are more than ``max_runs``
+runs when a batch comes, the two smallest are compacted into one first, bucket by bucket.  An index
+stays where it is and can be opened again by its path.
 
 Fingerprints are anchored runs of windows (see :mod:`.anchors`): one row stands
 for all consecutive windows that share an anchor.  A window counts as known if 128 bits
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from . import textcodes as tc
-from .staging import discard, new_path, stage
+from .staging import discard, new_path, settings, shuffle_files_freed, stage
 
 LAST_ID = (1 << 63) - 1
 
@@ -82,18 +82,18 @@ class FingerprintIndex:
         if run not in self.tables:
             name = f"eventloom_run_{uuid.uuid4().hex}"
             self.spark.sql(
-                f"create table {name} (f bigint, d bigint, doc bigint, hi bigint, hs array<bigint>) using parquet "
+                f"create table {name} (f bigint, d bigint, doc bigint, hi bigint, hs binary) using parquet "
                 f"options (path '{self.path}/{run}') clustered by (f) sorted by (f, d) into {self.buckets} buckets"
             )
             self.tables[run] = name
         return self.spark.table(self.tables[run])
 
     def _write(self, rows: DataFrame) -> str:
-        """A new run: one file for each bucket, sorted; of equal fingerprints the smallest document stays."""
+        """A new run from rows that are dealt to buckets: one sorted file each; of equal fingerprints the smallest document stays."""
         run = f"run-{len(self.runs()):04d}-{uuid.uuid4().hex[:12]}"
-        dealt = rows.repartition(self.buckets, "f").sortWithinPartitions("f", "d", "doc")
         name = f"eventloom_run_{uuid.uuid4().hex}"
-        _firsts(dealt).write.bucketBy(self.buckets, "f").sortBy("f", "d").option("path", f"{self.path}/{run}").option("compression", "zstd").saveAsTable(name)
+        with shuffle_files_freed(self.spark):
+            _firsts(rows).write.bucketBy(self.buckets, "f").sortBy("f", "d").option("path", f"{self.path}/{run}").option("compression", "zstd").saveAsTable(name)
         self.tables[run] = name
         return run
 
@@ -102,10 +102,11 @@ class FingerprintIndex:
         self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{run}"), True)
 
     def compact(self) -> None:
-        """Merge all runs into one: each fingerprint keeps its smallest document."""
-        old = self.runs()
-        if len(old) > 1:
-            self._write(functools.reduce(DataFrame.unionByName, map(self.table, old)))
+        """Merge the two smallest runs into one: each fingerprint keeps its smallest document."""
+        size = lambda run: self._files.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{run}")).getLength()
+        old = sorted(self.runs(), key=size)[:2]
+        if len(old) == 2:
+            self._write(self.table(old[0]).unionByName(self.table(old[1])))
             for run in old:
                 self._drop(run)
 
@@ -128,15 +129,19 @@ class FingerprintIndex:
         Returns doc, tag and spans: the word runs of the batch that documents with smaller ids
         have, as (pos, cnt, mask); a null mask stands for all ``cnt`` windows from ``pos`` on.
         """
+        while len(self.runs()) > self.max_runs:  # before the batch takes room of its own
+            self.compact()
         texts = batch.select("doc", "tag", "text")
         earlier = self.runs()
-        run = self._write(texts.mapInArrow(anchors.word_runs(self.window, self.gram, True), anchors.INDEX_SCHEMA))
-        fresh = self.table(run)
-        old = self.met(fresh, earlier)
-        firsts = stage(_firsts(functools.reduce(DataFrame.unionByName, old, fresh)), "met") if old else fresh
-        settled = stage(self._settled(firsts), "settled")
-        if old:
-            discard(firsts)
+        rows = texts.mapInArrow(anchors.word_runs(self.window, self.gram, True), anchors.INDEX_SCHEMA)
+        fresh = self.table(self._write(rows.repartition(self.buckets, "f").sortWithinPartitions("f", "d", "doc")))
+        parts = [fresh, *self.met(fresh, earlier)]
+        # without the windows' hashes, which are read only where an anchor has several digests
+        light = functools.reduce(DataFrame.unionByName, [p.select("f", "d", "doc", "hi", F.lit(p is fresh).alias("new")) for p in parts])
+        mine = F.min(F.when(F.col("new"), F.col("doc")))
+        light = stage(light.groupBy("f", "d").agg(F.min("doc").alias("doc"), F.max("hi").alias("hi"), F.coalesce(mine == F.min("doc"), F.lit(False)).alias("new")), "light")
+        settled = stage(self._settled(light, parts), "settled")
+        discard(light)
         rows = texts.mapInArrow(anchors.word_runs(self.window, self.gram), anchors.RUN_SCHEMA)
         low = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
         marks = (
@@ -146,21 +151,25 @@ class FingerprintIndex:
         )
         out = stage(marks.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans")), "marks")
         discard(settled)
-        if len(self.runs()) > self.max_runs:
-            self.compact()
         return out
 
-    def _settled(self, firsts: DataFrame) -> DataFrame:
+    def _settled(self, light: DataFrame, parts: list[DataFrame]) -> DataFrame:
         """f, d, first and mask of the runs that some document may lose words by.
 
         Documents above ``first`` lose the whole run; ``mask`` has the windows that are known from
         documents below ``first``, found by comparing single windows where an anchor has several digests.
         """
-        several = firsts.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-        windows = firsts.join(several, "f", "left_semi").select("f", "d", "doc", F.posexplode("hs").alias("off", "h"))
-        smallest = windows.groupBy("f", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("most")).where("lo < most").select("f", "h", "lo")
-        known = windows.join(smallest, ["f", "h"]).where("lo < doc").groupBy("f", "d").agg(F.max("doc").alias("first"), F.expr("bit_or(shiftleft(1L, off))").alias("mask"))
-        whole = firsts.where("hi > doc").select("f", "d", F.col("doc").alias("first"), F.lit(None).cast("long").alias("mask"))
+        # a digest that an earlier run has of a smaller document is settled by it; its windows only count as what others may repeat
+        several = light.groupBy("f").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new").select("f")
+        firsts = stage(light.join(several, "f", "left_semi").select("f", "d", "doc", "new"), "several")
+        with settings(self.spark, spark__sql__requireAllClusterKeysForCoPartition="false"):  # buckets by f serve a join by f, d and doc
+            hashed = [p.select("f", "d", "doc", "hs").join(firsts.hint("merge"), ["f", "d", "doc"]) for p in parts]
+            windows = stage(functools.reduce(DataFrame.unionByName, hashed).mapInArrow(tc.tidy(anchors.single_windows), "f long, d long, doc long, new boolean, off int, h long"), "windows")
+        smallest = windows.groupBy("f", "h").agg(F.min("doc").alias("lo"), F.max(F.when(F.col("new"), F.col("doc"))).alias("most")).where("lo < most").select("f", "h", "lo")
+        known = windows.where("new").join(smallest, ["f", "h"]).where("lo < doc").groupBy("f", "d").agg(F.max("doc").alias("first"), F.expr("bit_or(shiftleft(1L, off))").alias("mask"))
+        known = stage(known, "known")
+        discard(firsts, windows)
+        whole = light.where("hi > doc").select("f", "d", F.col("doc").alias("first"), F.lit(None).cast("long").alias("mask"))
         return whole.unionByName(known).groupBy("f", "d").agg(F.max("first").alias("first"), F.max("mask").alias("mask"))
 
 
