@@ -111,7 +111,8 @@ def deaths(s):
 def following(s):
     left = s.scene_interactions.select("interaction_id", "round_id", F.col("player_id").cast("long").alias("session_id"), "game_ms")
     right = s.state_samples.select("round_id", F.col("session_id").cast("long").alias("session_id"), "game_ms", "sample_id", F.col("sample_id").alias("sample"))
-    return sc.nearest_within(left, right, ["round_id", "session_id"], "game_ms", "game_ms", 1000.0, 7_200_000.0, "sample_id", ["sample"], latest=False).select("interaction_id", F.col("near_sample"))
+    found = sc.nearest_within(left, right, ["round_id", "session_id"], "interaction_id", "game_ms", "game_ms", "sample_id", ["sample"], {"near": (1000.0, 7_200_000.0, False)})
+    return left.select("interaction_id").join(found, "interaction_id", "left").select("interaction_id", F.col("near.sample").alias("near_sample"))
 
 
 @query("jn10_active_semi", "select count(*) as n from (select distinct identity_id from player_sessions where identity_id in (select o_custkey from orders where o_orderkey % 100 = 1))")
