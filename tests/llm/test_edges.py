@@ -1,10 +1,15 @@
 """Nulls, empty and long texts, ties, repeated rows, extra columns and empty tables, for every operator."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventloom.llm import quality_classifier, quality_rules, toxicity
+from eventloom.llm import quality_classifier, quality_rules, staging, toxicity
 from eventloom.llm.mixing import mix_sources
 from eventloom.llm.ngram_join import link_components
 from eventloom.llm.piece_lattice import DEFAULT_MODEL, decode_ids, encode_texts
@@ -158,19 +163,47 @@ def test_very_long_texts(spark):
     assert found[1][1] == 1 and found[2][1] == 2 and found[3] == (1, 3)
 
 
-def test_no_local_folder_on_a_cluster(spark):
-    from eventloom.llm import staging
+class Unset:
+    """A session without ``spark.checkpoint.dir``, under a given master."""
+
+    class conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    def __init__(self, master):
+        self.sparkContext = self
+        self.master, self.chosen = master, None
+
+    def getCheckpointDir(self):
+        return self.chosen
 
-    class Cluster:
-        master = "spark://host:7077"
+    def setCheckpointDir(self, path):
+        self.chosen = path
 
-        def getCheckpointDir(self):
-            return None
 
-    class Session:
-        conf = spark.newSession().conf
-        sparkContext = Cluster()
+def test_no_local_folder_on_a_cluster():
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            staging.shared_dir(Unset(master))
+    local = Unset("local[4]")
+    assert staging.shared_dir(local) == staging.shared_dir(local) == local.chosen
 
-    Session.conf.unset("spark.checkpoint.dir")
-    with pytest.raises(RuntimeError):
-        staging.shared_dir(Session())
+
+def test_operators_start_without_a_setting(tmp_path):
+    """In a session of its own, with no Spark settings at all, staged operators and the pipeline run."""
+    script = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.local.dir", "{tmp_path}").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+import corpus_pipeline
+from eventloom.llm.mixing import mix_sources
+docs = spark.createDataFrame([(i, f"text number {{i}}", "en", "ab"[i % 2], 10) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+assert mix_sources(docs).count() == 20
+docs.write.parquet("{tmp_path}/documents.parquet")
+spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet("{tmp_path}/labels.parquet")
+rows = corpus_pipeline.run(spark, "{tmp_path}").collect()
+assert rows and all(r.round_trip for r in rows)
+"""
+    os.makedirs(tmp_path / "conf")
+    env = {k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_GATEWAY")} | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": str(Path(corpus_pipeline.__file__).parent)}
+    done = subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
