@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_classifier, quality_rules, toxicity
+from .fill_in_middle import fill_in_middle, restore_texts
 from .labelled import held_out
 from .mixing import mix_sources
 from .ngram_join import link_components
 from .piece_lattice import encode_texts
+from .ranked_search import rank_documents
 from .session import table
 from .sharding import shard_documents
+from .staging import drop_at_exit, new_path
 from .substring_dedup import remove_known_windows
 from .suffix_dedup import remove_repeated_bytes
+from .token_files import read_token_files, write_token_files
 from .vector_graph import nearest
 
 #: DuckDB has no crc32: its reflected polynomial applied to the digits of the id, bit by bit.
@@ -159,6 +163,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arranged = fill_in_middle(table(spark, sf_dir, "documents"))
+    return restore_texts(arranged).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+OP11_SQL = """
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as k, sha256('1:' || doc_id::varchar) as h from documents),
+n as (select doc_id, t, k, len(k)::bigint as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::bigint) as h from d),
+c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form from n),
+p as (select *, array_to_string(k[1:a], '') as p, array_to_string(k[a + 1:b], '') as m, array_to_string(k[b + 1:n], '') as s from c)
+select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from p
+"""
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+with d as (select doc_id, {_TERMS} as w from documents),
+s as (select doc_id, len(w)::bigint as n from d where len(w) > 0),
+g as (select count(*)::bigint as docs, sum(n)::bigint as length from s),
+tf as (select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(w) as term from d) group by all),
+df as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from tf, g group by term, docs),
+q as (select item_id, term, count(*)::bigint as c from (select item_id, unnest({_TERMS}) as term from benchmark) group by all),
+x as (select tf.doc_id, tf.term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length)) as x from tf join s using (doc_id), g where tf.term in (select term from q)),
+r as (select item_id, doc_id, sum(c * w * x)::bigint as score from q join df using (term) join x using (term) group by all having sum(c * w * x) > 0)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r) where rank <= 10
+"""
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = drop_at_exit(spark, new_path(spark, "tokens"))
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return read_token_files(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
@@ -170,5 +215,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_lattice": op8_piece_lattice,
     "op9_vector_graph": op9_vector_graph,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_token_files": op13_token_files,
 }
-SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": _op2_sql(), "op4_substring_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": _op2_sql(), "op4_substring_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op11_fill_in_middle": OP11_SQL, "op12_ranked_search": OP12_SQL}

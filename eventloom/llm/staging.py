@@ -50,11 +50,16 @@ def shuffle_files_freed(spark: SparkSession):
     return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the driver's JVM ends."""
+    _files(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that reads it back."""
     spark = df.sparkSession
-    path = path or new_path(spark, name)
-    _files(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    path = drop_at_exit(spark, path or new_path(spark, name))
     with shuffle_files_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
