@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.minute import bucket
-from ..plans.report import close_episodes, confirm_patterns
 
 #: Event types that always open an episode.
 CRITICAL = ("player_death", "explosion_hit")
@@ -179,26 +178,6 @@ def fan_out(stream: DataFrame, checkpoint: str, sinks: dict[str, Callable[[DataF
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def periodic_review(stream: DataFrame, checkpoint: str, episodes: Callable[[DataFrame, int], None], patterns: Callable[[DataFrame, int], None], gap_ms: int = 1000, least: int = 12, every: str | None = "5 minutes", critical: Sequence[str] = CRITICAL) -> StreamingQuery:
-    """Every so often: the new events' episodes are closed and their signatures' counts confirmed, in two idempotent sinks.
-
-    The stream has server, round_id, event_id, t_us, event_type and signature.  An episode's end is the
-    newest event's time of its batch, so writing a batch again writes the same rows.
-    """
-
-    def close(batch: DataFrame, batch_id: int) -> None:
-        now = batch.agg(F.max("t_us")).first()[0]
-        opened = promote_episodes_batch(batch, gap_ms, critical=critical).select("server", "round_id", "event_id", F.col("t_us").alias("created_us"))
-        rows = opened.withColumns({"status": F.lit("selected"), "closed_us": F.lit(None).cast("long")})
-        episodes(close_episodes(rows, (now or 0) + 1), batch_id)
-
-    def confirm(batch: DataFrame, batch_id: int) -> None:
-        counted = batch.groupBy("signature").agg(F.count("*").alias("occurrences")).withColumn("state", F.lit("candidate"))
-        patterns(confirm_patterns(counted, least), batch_id)
-
-    return fan_out(stream, checkpoint, {"episodes": close, "patterns": confirm}, every)
-
-
 def keyed_sink(path: str) -> Callable[[DataFrame, int], None]:
     """A sink whose files are replaced when a batch is written again."""
 
