@@ -9,8 +9,9 @@ over all sources, so that a large source is spread over many tasks: one exchange
 (source, cell), a running sum inside each cell, and cell totals summed per source.
 
 Defined results: a null text has size 0; null sources form one source of their own,
-last in order; rows that repeat an id and text are taken in any order (they are equal);
-an empty table gives an empty result.
+last in order; rows without an id are placed by their text; rows that repeat an id follow each other (so they
+share a cell), and those that repeat the text as well are taken in any order (they are equal); an empty table gives an empty
+result.  Sources are few: their targets are found in one task, with one row for each source.
 """
 
 from __future__ import annotations
@@ -27,9 +28,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def random_key(row_id: Column) -> Column:
-    """60 hash bits, the same on every run and engine: the first 15 hex digits of the id's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(row_id.cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
+def random_key(row_id: Column, tag: Column) -> Column:
+    """60 hash bits, the same on every run and engine: the first 15 hex digits of the id's MD5; rows without an id are spread by their text."""
+    return F.conv(F.substring(F.md5(F.coalesce(row_id.cast("string"), tag.cast("string"))), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def text_tag(text: Column) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(text, F.octet_length(text))
 
 
 def cycled_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
@@ -61,12 +67,12 @@ def fill_targets(sources: DataFrame, total: Column | None = None, max_epochs: in
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, max_epochs: int = 3, cell_rows: int = 50_000) -> DataFrame:
-    """How much of each document the mix takes: id, source, size, source_size, target, taken.
+    """How much of each document the mix takes: id, source, size, source_size, target, taken, and the text's tag.
 
     ``taken`` counts words over all epochs; the document at a source's cut is taken in part,
     so that the taken words of a source are its target, rounded.
     """
-    sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), random_key(F.col(id_col)).alias("key")), "sizes")
+    sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), random_key(F.col(id_col), text_tag(F.col(text_col))).alias("key"), text_tag(F.col(text_col)).alias("tag")), "sizes")
     cells = max(1, -(-sized.count() // cell_rows))
     sized = sized.withColumn("cell", F.floor(F.col("key") / F.lit(float(1 << KEY_BITS)) * cells).cast("long"))
     name, none = F.coalesce("source", F.lit("")), F.col("source").isNull()
@@ -83,7 +89,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
         .select("name", "none", "cell", "source_size", "target", "epochs", (F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("start")).alias("rest"))
     )
-    along = Window.partitionBy("name", "none", "cell").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy("name", "none", "cell").orderBy("key", "id", "size", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("before", F.sum("size").over(along) - F.col("size"))
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return placed.join(plan, ["name", "none", "cell"]).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.join(plan, ["name", "none", "cell"]).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"), "tag")

@@ -254,6 +254,18 @@ def live_grams(texts: DataFrame, base: DataFrame, size: int, gram_rows: int, sli
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_items: int = 1 << 20, gram_rows: int = 1 << 19, slices: int = 3, hot_share: float = 1e-5) -> DataFrame:
     """One row per document: id, n_shingles and component_id (the smallest id reachable by links)."""
+    rows = linked_rows(docs, id_col, text_col, size, num, den, block_items, gram_rows, slices, hot_share)
+    smallest = rows.groupBy("component").agg(F.min("doc").alias("least"))
+    real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    out = rows.join(smallest, "component", "left").select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("least").alias("least"), "doc")
+    return out.select(id_col, "n_shingles", F.coalesce("least", F.col(id_col)).alias("component_id"))
+
+
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_items: int = 1 << 20, gram_rows: int = 1 << 19, slices: int = 3, hot_share: float = 1e-5) -> DataFrame:
+    """One row per document by its row key (see :func:`.substring_dedup.key_columns`): doc, tag, n (set size) and component.
+
+    Rows with one component are linked; a document without words has none.  Rows without an id or with a repeated one are told apart.
+    """
     if not 0 < num < den or size < 1:
         raise ValueError("0 < num < den and size >= 1")
     texts = docs.select(*key_columns(id_col, text_col), F.col(text_col).cast("string").alias("text"))
@@ -294,11 +306,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(joined(both[0].unionByName(both[1])))
     labels = connected_components(links)
 
-    rows = base.select("doc", "n", "node").join(labels, "node", "left")
+    rows = base.select("doc", "tag", "n", "node").join(labels, "node", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "node"))
-    rows = stage(rows.select("doc", "n", own.alias("component")), "rows")
+    rows = stage(rows.select("doc", "tag", "n", own.alias("component")), "rows")
     discard(*scratch)
-    smallest = rows.groupBy("component").agg(F.min("doc").alias("least"))
-    real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    out = rows.join(smallest, "component", "left").select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("least").alias("least"), "doc")
-    return out.select(id_col, "n_shingles", F.coalesce("least", F.col(id_col)).alias("component_id"))
+    return rows

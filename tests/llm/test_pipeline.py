@@ -94,6 +94,31 @@ def test_copies_follow_the_mix(spark):
     assert all(abs(target - n) <= 40 for target, n in words.values()) and max(mixed.values()) > 1
 
 
+def test_groups_with_null_and_repeated_ids(spark):
+    word = lambda n, k: [f"{n}w{i}" for i in range(k)]
+    near = " ".join([*word("a", 95), "other"])
+    a, b, c = (" ".join(word(x, 96)) for x in "abc")
+    rows = [(1, a), (None, near), (None, b), (None, b), (None, c), (2, a), (2, c + " more"), (3, None), (None, ""), (None, ""), (4, "x y"), (4, "x y")]
+    got = sorted(((r.doc_id, r.text) for r in STAGE["ngram_jaccard_join"](spark, table(spark, rows, lambda i: "a"), "").collect()), key=str)
+    want = [(1, a), (None, b), (2, c + " more"), (3, None), (None, ""), (None, ""), (4, "x y")]
+    assert got == sorted(want, key=str)
+
+
+def test_copies_of_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, "w " * n) for n in (5, 50, 500)] + [(7, "w " * n) for n in (3, 30, 3)] + [(i, "v " * 40) for i in range(10, 20)]
+    docs = table(spark, rows, lambda i: "b" if i is not None and i >= 10 else "a")
+    got = {}
+    for r in STAGE["mixing"](spark, docs, "").collect():
+        got[(r.doc_id, r.text)] = got.get((r.doc_id, r.text), 0) + 1
+    words = {}
+    for r in mix_sources(docs).collect():
+        words.setdefault((r.source, r.target), []).append(r)
+    for (source, target), of in words.items():
+        emitted = sum(n * len(t.split()) for (i, t), n in got.items() if (source == "b") == (i is not None and i >= 10))
+        assert emitted == sum(int(r.taken / r.size + 0.5) * r.size for r in of)  # every row by its own share
+        assert abs(emitted - target) <= 250  # half of the longest document
+
+
 @pytest.mark.skipif(not os.path.exists(DEFAULT_MODEL), reason="no vocabulary here")
 def test_pieces_are_the_best_paths(spark):
     rows = [(1, "the in ing"), (2, ""), (3, None), (4, "a b\nc ☃ é"), (5, "the in ing")]
