@@ -7,19 +7,20 @@ All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm import toxicity
-from eventloom.llm.mixing import mix_sources
-from eventloom.llm.ngram_join import link_components
+from eventloom.llm.mixing import mix_sources, text_tag
+from eventloom.llm.ngram_join import linked_rows
 from eventloom.llm.piece_lattice import encode_texts
 from eventloom.llm.session import table
 from eventloom.llm.staging import stage
+from eventloom.llm.substring_dedup import key_columns
 from eventloom.llm.suffix_dedup import remove_repeated_bytes
 
 #: Names that no column of ``documents`` has.
-TOXICITY, ROW, TIMES, COPY, ID = (f"_corpus_pipeline_{n}" for n in ("toxicity", "row", "times", "copy", "id"))
+TOXICITY, ROW, TIMES, COPY, ID, DOC, TAG = (f"_corpus_pipeline_{n}" for n in ("toxicity", "row", "times", "copy", "id", "doc", "tag"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +30,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (Jaccard 0.8 or more) the one with the smallest id.
+    """Of documents linked by five-word shingles (Jaccard 0.8 or more) one: the one with the smallest id.
 
-    Rows that repeat that id stay once; rows without an id stay, unless a document with one is linked.
+    Documents without an id are linked like others and come last in their group, by their text's hash; of rows that
+    repeat id and text one stays.  Documents without words are linked with nothing and all stay.
     """
-    groups = link_components(docs, size=5, num=80, den=100)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    groups = linked_rows(docs, size=5, num=80, den=100)
+    first = groups.where("component is not null").groupBy("component").agg(F.min(F.struct("doc", "tag")).alias("k")).select(F.col("k.doc").alias(DOC), F.col("k.tag").alias(TAG))
+    key, tag = key_columns("doc_id", "text")
+    rows = docs.withColumns({ID: key, ROW: tag})
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = rows.where(~wordless).join(first, (F.col(ID) == F.col(DOC)) & (F.col(ROW) == F.col(TAG)), "left_semi").dropDuplicates([ID, ROW, "text"])
+    return one.unionByName(rows.where(wordless)).select(*docs.columns)
 
 
 def cut_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +61,22 @@ def cut_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_by_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole, once for each epoch; a source's last one if half of it is taken."""
+    """Documents as often as the mix takes them: whole, once for each epoch; a source's last one if half of it is taken.
+
+    Every row has its own number of copies, also without an id or with a repeated one; rows equal in id, source and text share
+    theirs as evenly as whole numbers can.
+    """
     taken = mix_sources(docs.select("doc_id", "text", "source"))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).otherwise(1)
-    times = taken.groupBy("doc_id").agg(F.max(copies).alias(TIMES)).where(F.col(TIMES) > 0)
-    mixed = docs.join(times.withColumnRenamed("doc_id", ID), F.col("doc_id").eqNullSafe(F.col(ID)))
-    return mixed.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(*docs.columns)
+    key = [F.col("doc_id").alias(ID), F.col("source").alias(DOC), F.col("tag").alias(TAG)]
+    times = taken.groupBy(*key).agg(F.sum(copies).alias(TIMES), F.count("*").alias(ROW)).where(F.col(TIMES) > 0)
+    same = F.col("doc_id").eqNullSafe(F.col(ID)) & F.col("source").eqNullSafe(F.col(DOC)) & (text_tag(F.col("text")) == F.col(TAG))
+    mixed = docs.join(times, same)
+    nth = F.row_number().over(Window.partitionBy(ID, DOC, TAG).orderBy(ID))
+    single, several = mixed.where(F.col(ROW) == 1), mixed.where(F.col(ROW) > 1).withColumn(COPY, nth)
+    share = F.floor(F.col(TIMES) / F.col(ROW)) + (F.col(COPY) <= F.col(TIMES) % F.col(ROW)).cast("int")
+    every = single.unionByName(several.withColumn(TIMES, share).where(F.col(TIMES) > 0).drop(COPY))
+    return every.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col(TIMES).cast("int")))).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
