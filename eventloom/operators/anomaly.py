@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import checkpointed
+from .ranks import exact_percentiles, null_safe_join, with_cohort_percentiles
 
 #: Scores between 0 and 1 are counted in so many cells to find a percentile.
 CELLS = 10_000
@@ -19,15 +20,16 @@ CELLS = 10_000
 def robust_z(rows: DataFrame, value: str, group: Sequence[str] = (), least: int = 3) -> DataFrame:
     """Add robust_z = 0.6745 (x - median) / MAD: null below ``least`` values, 0 where MAD is 0.
 
-    Two aggregations; only one row per group is joined back.
+    Medians by counting (:func:`.ranks.exact_percentiles`), so a group of any size, or the whole table, needs bounded memory;
+    only one row per group is joined back.  A null value's z is null.
     """
     keys = list(group) or ["_all"]
     rows = rows if group else rows.withColumn("_all", F.lit(1))
-    med = rows.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_med"), F.count(value).alias("_n"))
-    near = rows.join(med, keys)
-    mad = near.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_med")), 0.5).alias("_mad"))
-    z = F.when(F.col("_n") >= least, F.when(F.col("_mad") == 0, F.lit(0.0)).otherwise(0.6745 * (F.col(value) - F.col("_med")) / F.col("_mad")))
-    return near.join(mad, keys).withColumn("robust_z", z).drop("_med", "_mad", "_n", "_all")
+    med = exact_percentiles(rows, keys, value, [0.5], ["_med"]).withColumnRenamed("n", "_n")
+    near = null_safe_join(rows, med, keys, "left")
+    mad = exact_percentiles(near, keys, F.abs(F.col(value) - F.col("_med")), [0.5], ["_mad"]).drop("n")
+    z = F.when(F.col("_n") >= least, F.when(F.col("_mad") == 0, F.lit(0.0) * F.col(value)).otherwise(0.6745 * (F.col(value) - F.col("_med")) / F.col("_mad")))
+    return null_safe_join(near, mad, keys, "left").withColumn("robust_z", z).drop("_med", "_mad", "_n", "_all")
 
 
 def anomaly_windows(features: DataFrame, value: str = "max_speed", threshold: float = 4.0, least_coverage: float = 0.7, outlier: str | None = None) -> DataFrame:
@@ -53,11 +55,12 @@ def cohort_percentile(value: str, over: Sequence[str] = ()) -> Column:
 def style_profiles(rates: DataFrame, player: str, sessions: str, components: Sequence[str], publish: int = 10) -> DataFrame:
     """Percentile of each component among the players, published from ``publish`` sessions on.
 
-    Percentiles need two players; a player's confidence is min(1, sessions / ``publish``).
+    Percentiles need two players; a player's confidence is min(1, sessions / ``publish``).  All components are
+    ranked in one pass over ranges of values, so the number of players in a task is bounded.
     """
     n = rates.agg(F.count("*").alias("_n"))
-    out = rates.crossJoin(F.broadcast(n))
-    out = out.withColumns({f"{c}_percentile": F.when(F.col("_n") >= 2, cohort_percentile(c)) for c in components})
+    out = with_cohort_percentiles(rates, components).crossJoin(F.broadcast(n))
+    out = out.withColumns({f"{c}_percentile": F.when(F.col("_n") >= 2, F.col(f"{c}_percentile")) for c in components})
     return out.withColumns({"confidence": F.least(F.lit(1.0), F.col(sessions) / publish), "published": F.col(sessions) >= publish}).drop("_n")
 
 

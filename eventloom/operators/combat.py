@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timeseries import with_percentiles
+
 NAMED = ("player_damage", "player_death")
 
 
@@ -69,8 +71,8 @@ def combat_by_session(combat: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("deals"), F.col("damage"))), F.lit(0.0)).alias("dealt"),
         F.coalesce(F.sum(F.when(~F.col("deals"), F.col("damage"))), F.lit(0.0)).alias("received"),
         F.count_if("deals").alias("events"),
-        F.percentile(F.when(F.col("deals"), F.col("distance")), 0.5).alias("median_distance"),
     )
+    main = with_percentiles(main, roles.where("deals"), ["session_id"], "distance", [0.5], ["median_distance"])
     kinds = roles.where("deals").groupBy("session_id", "event_type").agg(F.sum("damage").alias("d")).groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "d")))).alias("by_type"))
     return main.join(kinds, "session_id", "left").withColumn("efficiency", F.try_divide("dealt", "received"))
 

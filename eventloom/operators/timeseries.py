@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import exact_percentiles, null_safe_join
+
 PING_QUANTILES = (0.5, 0.9, 0.95, 0.99)
 SPIKE_STEPS = (50, 100, 150)
 HIGH_LEVELS = (100, 150, 200, 250)
@@ -22,11 +24,6 @@ def finite(c: Column, default: float = 0.0) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(default)).otherwise(v)
 
 
-def percentiles(value: Column, shares: Sequence[float], names: Sequence[str]) -> list[Column]:
-    """Linearly interpolated percentiles at (n - 1) * share as aggregates."""
-    return [F.percentile(value, float(q)).alias(n) for q, n in zip(shares, names, strict=True)]
-
-
 def sample_steps(samples: DataFrame, entity: str, time: str, row_id: str, value: str, clamp_s: float = 30.0) -> DataFrame:
     """Add the previous value, the absolute step to it and the clamped seconds since it."""
     w = Window.partitionBy(entity).orderBy(time, row_id)
@@ -57,14 +54,19 @@ def ping_metrics(samples: DataFrame, entity: str, time: str, row_id: str, value:
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.stddev_pop(value).alias("stddev"),
-        *percentiles(F.col(value), PING_QUANTILES, [f"p{round(q * 100)}" for q in PING_QUANTILES]),
         F.coalesce(F.avg("step"), F.lit(0.0)).alias("jitter"),
         *(F.count_if(F.col("step") >= s).alias(f"spikes_{s}") for s in SPIKE_STEPS),
         *(F.coalesce(F.sum(F.when(F.col("prev") > h, F.col("dt"))), F.lit(0.0)).alias(f"seconds_above_{h}") for h in HIGH_LEVELS),
         *([F.count_distinct(entity).alias("session_count")] if group else []),
         F.coalesce(F.max("held"), F.lit(0.0)).alias("longest_high"),
     )
-    return out
+    return with_percentiles(out, samples, [key], value)
+
+
+def with_percentiles(out: DataFrame, rows: DataFrame, keys: Sequence[str], value: str | Column, shares: Sequence[float] = PING_QUANTILES, names: Sequence[str] | None = None) -> DataFrame:
+    """``out``, one row per key, with exact percentiles of ``rows`` found by counting, so that a key may have any number of them."""
+    names = names or [f"p{round(q * 100)}" for q in shares]
+    return null_safe_join(out, exact_percentiles(rows, keys, value, shares, names).drop("n"), keys, "left")
 
 
 def ranked_percentiles(samples: DataFrame, entity: str, value: str, row_id: str, shares: Sequence[float] = PING_QUANTILES) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as q
 from ..operators import timeseries as ts
+from ..operators.ranks import exact_percentiles
 from .shapes import query
 
 DAY = 86_400.0
@@ -48,7 +49,7 @@ def ping_by_player(s):
     "select session_id, round(quantile_cont(ping, 0.5), 6) as p50, round(quantile_cont(ping, 0.9), 6) as p90, round(quantile_cont(ping, 0.95), 6) as p95, round(quantile_cont(ping, 0.99), 6) as p99 from network_samples group by 1",
 )
 def percentile_rows(s):
-    return rounded(s.network_samples.groupBy("session_id").agg(*ts.percentiles(F.col("ping"), ts.PING_QUANTILES, ["p50", "p90", "p95", "p99"])))
+    return rounded(exact_percentiles(s.network_samples, ["session_id"], "ping", ts.PING_QUANTILES, ["p50", "p90", "p95", "p99"]).drop("n"))
 
 
 @query(
