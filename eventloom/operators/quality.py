@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import checkpointed
+
 
 def first_per_key(events: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """Keep the row with the smallest id of each key."""
@@ -26,13 +30,26 @@ def sequence_gaps(events: DataFrame, source: str, seq: str, cell: int = 1 << 20)
     return both.where(F.col("expected") < F.col(seq)).select(source, "expected", F.col(seq).alias("observed"), (F.col(seq) - F.col("expected")).alias("missing"))
 
 
-def numbered(rows: DataFrame, key: str, name: str = "nth", cell: int = 1 << 20) -> DataFrame:
-    """Rows numbered from 1 by a distinct whole-number key: within ranges of keys, then over the ranges' counts."""
-    cells = rows.withColumn("_cell", F.floor(F.col(key) / cell))
-    ahead = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.groupBy("_cell").count().select("_cell", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_cell").orderBy(key))
-    return cells.withColumn("_own", own).join(starts, "_cell").withColumn(name, F.col("_start") + F.col("_own")).drop("_cell", "_start", "_own")
+def numbered(rows: DataFrame, order: str | Sequence[str | Column], name: str = "nth") -> DataFrame:
+    """Rows numbered from 1 in any order (columns or sort expressions), without sorting all of them in one task.
+
+    One exchange deals the rows to ranges of the order and a checkpoint fixes which row is where; rows are
+    numbered within their range, from the sum of the ranges before.  Only one count for each range goes through one task.
+    Equal rows lie in one range and are numbered in any order, so the order should tell rows apart.
+    """
+    keys = [order] if isinstance(order, str) else list(order)
+    placed = checkpointed(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return placed.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_own")).drop("_range", "_start", "_own")
+
+
+def live_labels(players: DataFrame, key: str = "key") -> DataFrame:
+    """Labels of live players (key, damage, events): by damage, events and key, largest first; keys of identities are players, others sessions."""
+    ranked = numbered(players, [F.desc("damage"), F.desc("events"), F.desc(key)])
+    kind = F.when(F.col(key).startswith("identity:"), "Player").otherwise("Session")
+    return ranked.select(key, "damage", "events", F.format_string("%s %03d", kind, F.col("nth")).alias("label"))
 
 
 def source_coverage(events: DataFrame, source: str, seq: str) -> DataFrame:

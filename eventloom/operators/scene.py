@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,6 +164,57 @@ def assemble_episodes(episodes: DataFrame, rows: DataFrame, keys: Sequence[str],
     return met.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).select("episode_id", "nth", row_id, (F.col(time) - F.col("_at")).alias("offset_ms"))
 
 
+@dataclass
+class EpisodeSource:
+    """Rows that belong to episodes: their round, time, id and columns; ``limit`` rows an episode at most (None: all).
+
+    With ``entity`` only rows of an episode's own entities count (that column holds the entity).
+    """
+
+    rows: DataFrame
+    row_id: str
+    values: Sequence[str]
+    limit: int | None = 1200
+    entity: str | None = None
+
+
+def whole_episodes(episodes: DataFrame, sources: dict[str, EpisodeSource], round_key: str = "round_id", at: str = "game_ms", entities: str | None = "entities", time: str = "game_ms", low: float = -5000.0, high: float = 2000.0, cells: int = 16) -> DataFrame:
+    """Every episode (episode_id, round, time, array of entity ids) with the rows of all sources in [t + low, t + high].
+
+    One row for each episode, source and row: episode_id, source, nth (by time and id), row_id, offset_ms and ``value``, the source's
+    values as JSON.  All sources go through one band join: by round and time bucket, and by entity where a source
+    has one.  A limit is part of the result's definition; it is applied without sorting all matches: they are counted by ``cells``
+    slices of the window, only slices that begin before the limit are kept, and only their rows are numbered.
+    Null rounds and times match nothing.
+    """
+    width, known = high - low, F.col(round_key).isNotNull() & F.col(at).isNotNull()
+    buckets = F.sequence(F.floor((F.col(at) + low) / width), F.floor((F.col(at) + high) / width))
+    asked = episodes.where(known).select("episode_id", F.col(round_key).alias("_round"), F.col(at).cast("double").alias("_at"), *([F.col(entities).alias("_of")] if entities else []), F.explode(buckets).alias("_b"))
+    # an episode asks once without an entity and once for each of its own
+    asks = F.array(F.lit(None).cast("string"))
+    if entities:
+        own = F.transform(F.array_distinct(F.array_compact("_of")), lambda e: e.cast("string"))
+        asks = F.concat(asks, F.coalesce(own, F.array().cast("array<string>")))
+    asked = asked.withColumn("_e", F.explode(asks)).drop("_of")
+    parts = []
+    for name, s in sources.items():
+        rows = s.rows.where(F.col(time).isNotNull() & F.col(round_key).isNotNull())
+        rows = rows if s.entity is None else rows.where(F.col(s.entity).isNotNull())
+        entity = F.lit(None).cast("string") if s.entity is None else F.col(s.entity).cast("string")
+        parts.append(rows.select(F.lit(name).alias("source"), F.col(round_key).alias("_round"), entity.alias("_e"), F.col(time).cast("double").alias("_t"), F.col(s.row_id).cast("long").alias("row_id"), F.to_json(F.struct(*s.values)).alias("value"), F.lit(s.limit).cast("int").alias("_limit")))
+    rows = functools.reduce(DataFrame.unionByName, parts).withColumn("_b", F.floor(F.col("_t") / width)).withColumnRenamed("_e", "_own")
+    offset = F.col("_t") - F.col("_at")
+    met = asked.join(rows, ["_round", "_b"]).where(F.col("_e").eqNullSafe(F.col("_own")) & (offset >= low) & (offset <= high))
+    met = met.select("episode_id", "source", "row_id", offset.alias("offset_ms"), "value", "_limit", F.least(F.floor((offset - low) / width * cells), F.lit(cells - 1)).alias("_cell"))
+    counts = met.groupBy("episode_id", "source", "_cell").agg(F.count("*").alias("_c"))
+    ahead = Window.partitionBy("episode_id", "source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).drop("_c")
+    kept = met.join(starts, ["episode_id", "source", "_cell"]).where(F.col("_limit").isNull() | (F.col("_start") < F.col("_limit")))
+    within = Window.partitionBy("episode_id", "source", "_cell").orderBy("offset_ms", "row_id")
+    out = kept.withColumn("nth", F.col("_start") + F.row_number().over(within)).where(F.col("_limit").isNull() | (F.col("nth") <= F.col("_limit")))
+    return out.select("episode_id", "source", "nth", "row_id", "offset_ms", "value")
+
+
 def lifecycle(entities: DataFrame) -> DataFrame:
     """Per kind: entities, terminated ones, and interactions on them."""
     return entities.groupBy("kind").agg(F.count("*").alias("entities"), F.count("terminated_id").alias("terminated"), F.sum("mentions").alias("mentions"))

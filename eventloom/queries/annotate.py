@@ -248,6 +248,11 @@ def unmapped(s):
     return s.network_samples.select("session_id").distinct().join(s.player_sessions, "session_id", "left_anti")
 
 
+@query("set02_sessions_without_samples", "select distinct session_id from player_sessions except select session_id from network_samples")
+def without_samples(s):
+    return s.player_sessions.select("session_id").distinct().join(s.network_samples.select("session_id"), "session_id", "left_anti")
+
+
 @query("set03_pattern_union", "select weapon as family, 'window' as origin, count(*) as n from combat_events group by 1 union all select interaction, 'scene', count(*) from scene_interactions group by 1")
 def union(s):
     windows = s.combat_events.groupBy(F.col("weapon").alias("family")).agg(F.lit("window").alias("origin"), F.count("*").alias("n"))

@@ -109,6 +109,15 @@ def scene_patterns(s):
     return sc.scene_pattern_matches(assisted_movement(s))
 
 
+@query(
+    "job06_match_confidence",
+    "with c as (select event_id as interaction_id, case event_id % 4 when 0 then 'high' when 1 then 'medium' when 2 then 'low' else 'insufficient' end as confidence from events) select interaction_id, 'scene_assisted_movement' as signature, case confidence when 'high' then 1.0 else 0.65 end::double as confidence from c where confidence in ('high', 'medium')",
+)
+def match_confidence(s):
+    level = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low"), F.lit("insufficient")), (F.col("event_id") % 4 + 1).cast("int"))
+    return sc.scene_pattern_matches(s.events.select(F.col("event_id").alias("interaction_id"), level.alias("confidence")))
+
+
 @query(
     "job05_scene_overview",
     f"""with {_OBJ}, s as (select *, sqrt(vx * vx + vy * vy) as speed from state_samples),

@@ -10,7 +10,7 @@ from ..operators import minute as mi
 from ..operators import scene as sc
 from ..operators import sessions as se
 from ..operators import timeseries as ts
-from ..operators.quality import numbered
+from ..operators.quality import live_labels, numbered
 from .shapes import query
 from .timeseries import rounded
 
@@ -72,6 +72,17 @@ def latest(s):
     return rounded(s.network_samples.withColumn("n", F.row_number().over(w)).where("n = 1").select("session_id", "sample_id", "ping"))
 
 
+@query(
+    "win16_live_labels",
+    """with g as (select coalesce('identity:' || identity_id::varchar, 'session:' || attacker_id::varchar) as key, round(sum(damage), 3) as damage, count(*) as events from combat_events left join player_sessions on session_id = attacker_id group by 1)
+select key, damage, events, printf('%s %03d', case when key like 'identity:%' then 'Player' else 'Session' end, row_number() over (order by damage desc, events desc, key desc)) as label from g""",
+)
+def live_labels_of_players(s):
+    who = s.player_sessions.select(F.col("session_id").alias("attacker_id"), "identity_id")
+    key = F.coalesce(F.concat(F.lit("identity:"), F.col("identity_id")), F.concat(F.lit("session:"), F.col("attacker_id")))
+    return live_labels(s.combat_events.join(who, "attacker_id", "left").groupBy(key.alias("key")).agg(F.round(F.sum("damage"), 3).alias("damage"), F.count("*").alias("events")))
+
+
 @query("win16_player_labels", "select session_id, printf('Player %03d', row_number() over (order by session_id)) as label from (select distinct session_id from network_samples)")
 def labels(s):
     ids = s.network_samples.select("session_id").distinct()

@@ -134,6 +134,34 @@ def all_episodes(s):
     return sc.assemble_episodes(starts, rows, ["round_id"], "ms", "ms", "sample_id", -3_600_000.0, 1_800_000.0).withColumn("offset_ms", F.col("offset_ms").cast("double"))
 
 
+@query(
+    "jn09_whole_episodes",
+    """with e as (select event_id as episode_id, round_id, t_us / 1000.0 as at_ms, [attacker_id, victim_id] as own from combat_events where event_type = 'player_death'),
+s as (select sample_id, round_id, session_id, game_ms + epoch_us(round_id::timestamp) / 1000.0 as game_ms, x, y from state_samples), i as (select interaction_id, round_id, game_ms + epoch_us(round_id::timestamp) / 1000.0 as game_ms, x from scene_interactions),
+rows as (select 'samples' as source, round_id, session_id as entity, game_ms, sample_id as row_id, round(x, 3) as v from s union all select 'players', round_id, null, game_ms, sample_id, round(y, 3) from s
+  union all select 'interactions', round_id, null, game_ms, interaction_id, round(x, 3) from i union all select 'explosions', round_id, null, t_us / 1000.0, event_id, round(damage, 3) from combat_events where event_type = 'projectile_hit'),
+m as (select episode_id, source, row_id, game_ms - at_ms as offset_ms, v from e join rows on rows.round_id = e.round_id and game_ms - at_ms between -3600000 and 1800000 and (entity is null or list_contains(own, entity))),
+n as (select *, row_number() over (partition by episode_id, source order by offset_ms, row_id) as nth from m)
+select episode_id, source, nth, row_id, round(offset_ms, 3) as offset_ms, v as value from n where source in ('interactions', 'explosions') or nth <= 12""",
+)
+def whole(s):
+    day = F.unix_micros(F.col("round_id").cast("timestamp")) / 1000.0  # the rounds' clocks start at midnight
+    samples = s.state_samples.select("sample_id", "round_id", "session_id", (F.col("game_ms") + day).alias("game_ms"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    touched = s.scene_interactions.select("interaction_id", "round_id", (F.col("game_ms") + day).alias("game_ms"), F.round("x", 3).alias("x"))
+    combat = s.combat_events.withColumn("game_ms", F.col("t_us") / 1000.0)
+    blasts = combat.where("event_type = 'projectile_hit'").select("event_id", "round_id", "game_ms", F.round("damage", 3).alias("d"))
+    deaths = combat.where("event_type = 'player_death'").select(F.col("event_id").alias("episode_id"), "round_id", "game_ms", F.array(F.col("attacker_id").cast("long"), F.col("victim_id").cast("long")).alias("entities"))
+    sources = {
+        "samples": sc.EpisodeSource(samples, "sample_id", ["x"], 12, "session_id"),
+        "players": sc.EpisodeSource(samples, "sample_id", ["y"], 12),
+        "interactions": sc.EpisodeSource(touched, "interaction_id", ["x"], None),
+        "explosions": sc.EpisodeSource(blasts, "event_id", ["d"], None),
+    }
+    out = sc.whole_episodes(deaths, sources, low=-3_600_000.0, high=1_800_000.0)
+    value = F.coalesce(*(F.get_json_object("value", f"$.{k}").cast("double") for k in ("x", "y", "d")))
+    return out.select("episode_id", "source", "nth", "row_id", F.round("offset_ms", 3).alias("offset_ms"), value.alias("value"))
+
+
 def _features(s):
     return ts.movement(s.state_samples, ["session_id", "round_id"], "game_ms", "sample_id", 86_400.0, 0.001)
 

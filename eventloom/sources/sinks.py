@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versioned import VersionedTable
+
 
 def upsert_days(results: DataFrame, path: str, day: str = "report_date") -> None:
     """Replace the days that ``results`` has and leave the others: running a day again gives the same table."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
+def upsert_versioned_days(results: DataFrame, table: VersionedTable) -> int:
+    """:func:`upsert_days` as a new version: readers of an older one keep the rows they have.  Returns the version."""
+    return table.replace(results)
+
+
 def watermark(events: DataFrame, row_id: str, time: str) -> tuple[int, int]:
     """Largest id and time now: the version that all reads of a report are pinned to."""
     r = events.agg(F.max(row_id), F.max(time)).first()

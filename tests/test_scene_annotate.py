@@ -78,3 +78,19 @@ def test_eviction_order(spark):
     df = spark.createDataFrame([(1, 10, 0, 1), (2, 10, 0, 2), (3, 10, 1, 0)], "i long, size long, priority long, created long")
     got = rt.evict_over_quota(df, "size", "priority", "created", "i", 20).orderBy("i").collect()
     assert [r.evict for r in got] == [True, False, False]
+
+
+def test_whole_episodes(spark):
+    episodes = spark.createDataFrame([(1, "r", 10_000.0, ["a", "b", None]), (2, "r", 10_500.0, []), (3, None, 1.0, ["a"]), (4, "q", None, ["a"]), (5, "q", 0.0, None)], "episode_id long, round_id string, game_ms double, entities array<string>")
+    rows = [(i, "r", e, 5_000.0 + 100 * (i // 2)) for i, e in enumerate(["a", "b", "c", None] * 40)] + [(900, "q", "a", -5000.0), (901, "q", "a", 2000.0), (902, "q", "a", 2000.1), (903, None, "a", 1.0), (904, "q", "a", None)]
+    df = spark.createDataFrame(rows, "id long, round_id string, e string, game_ms double")
+    sources = {"own": sc.EpisodeSource(df, "id", ["e"], 7, "e"), "any": sc.EpisodeSource(df, "id", ["e", "id"], None), "few": sc.EpisodeSource(df, "id", ["id"], 3)}
+    got = sorted((r.episode_id, r.source, r.nth, r.row_id, r.offset_ms, json.loads(r.value)) for r in sc.whole_episodes(episodes, sources, cells=3).collect())
+    want = []
+    for i, round_id, at, own in [(1, "r", 10_000.0, {"a", "b"}), (2, "r", 10_500.0, set()), (5, "q", 0.0, set())]:
+        for name, limit in (("own", 7), ("any", None), ("few", 3)):
+            near = sorted((t - at, j, e) for j, r, e, t in rows if r == round_id and t is not None and -5000 <= t - at <= 2000 and (name != "own" or e in own))
+            for n, (off, j, e) in enumerate(near[:limit]):
+                value = {"e": e} if name == "own" else {"id": j} | ({"e": e} if name == "any" else {})
+                want.append((i, name, n + 1, j, off, {k: v for k, v in value.items() if v is not None}))
+    assert got == sorted(want)
