@@ -179,7 +179,10 @@ def build_graphs(nodes: DataFrame, shard_rows: int, degree: int, beam: int, alph
         return points.assign(place=np.arange(len(points)), edges=list(graph.edges))
 
     schema = "dim int, node long, h long, h2 long, v array<double>, shards int, shard int, place int, edges array<int>"
-    return stage(dealt.select("dim", "node", "h", "h2", "v", "shards", "shard").groupBy("dim", "shard").applyInPandas(build, schema), "graph")
+    # a graph costs far more than its bytes tell, so the exchange is given its number of partitions and not left to be coalesced
+    total = per.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
+    dealt = dealt.select("dim", "node", "h", "h2", "v", "shards", "shard").repartition(max(1, 2 * total), "dim", "shard")
+    return stage(dealt.groupBy("dim", "shard").applyInPandas(build, schema), "graph")
 
 
 def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, query_rows: int, degree: int, beam: int, alpha: float) -> DataFrame:
