@@ -52,6 +52,39 @@ def cohort_percentile(value: str, over: Sequence[str] = ()) -> Column:
     return F.cume_dist().over(Window.partitionBy(*over).orderBy(value)) * 100
 
 
+# The components of a style profile, each a ratio of sums of a player's counters.
+STYLE_RATES = {
+    "offense": (["damage_dealt"], "seconds"),
+    "survival": (["one"], "deaths"),
+    "damage_efficiency": (["damage_dealt"], "damage_received"),
+    "melee_precision": (["melee_hits", "kick_hits"], "swings"),
+    "ranged_projectile_effectiveness": (["projectile_hits"], "shots_fired"),
+    "defense": (["blocks"], "seconds"),
+    "movement": (["active_distance"], "seconds"),
+    "consistency": (["repeated"], "one"),
+    "aggression": (["combat_events"], "seconds"),
+    "staticness": (["static_seconds"], "seconds"),
+    "block_roll_reliance": (["blocks", "rolls"], "seconds"),
+}
+
+
+def style_rates(players: DataFrame) -> DataFrame:
+    """Add the eleven components of a player's style; a divisor below 1 counts as 1, missing counters as 0.
+
+    ``players`` has sessions, playtime_s and the counters that :data:`STYLE_RATES` names (swings: melee_swings and kick_swings).
+    """
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    special = {"one": F.lit(1.0), "seconds": zero("playtime_s"), "swings": zero("melee_swings") + zero("kick_swings"), "repeated": (F.coalesce("sessions", F.lit(0)) >= 2).cast("double")}
+    term = lambda c: special[c] if c in special else zero(c)
+    rates = {}
+    for name, (parts, by) in STYLE_RATES.items():
+        top = term(parts[0])
+        for part in parts[1:]:
+            top = top + term(part)
+        rates[name] = top / F.greatest(term(by), F.lit(1.0))
+    return players.withColumns(rates)
+
+
 def style_profiles(rates: DataFrame, player: str, sessions: str, components: Sequence[str], publish: int = 10) -> DataFrame:
     """Percentile of each component among the players, published from ``publish`` sessions on.
 
@@ -59,7 +92,7 @@ def style_profiles(rates: DataFrame, player: str, sessions: str, components: Seq
     ranked in one pass over ranges of values, so the number of players in a task is bounded.
     """
     n = rates.agg(F.count("*").alias("_n"))
-    out = with_cohort_percentiles(rates, components).crossJoin(F.broadcast(n))
+    out = with_cohort_percentiles(rates, player, components).crossJoin(F.broadcast(n))
     out = out.withColumns({f"{c}_percentile": F.when(F.col("_n") >= 2, F.col(f"{c}_percentile")) for c in components})
     return out.withColumns({"confidence": F.least(F.lit(1.0), F.col(sessions) / publish), "published": F.col(sessions) >= publish}).drop("_n")
 

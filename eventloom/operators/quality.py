@@ -30,15 +30,17 @@ def sequence_gaps(events: DataFrame, source: str, seq: str, cell: int = 1 << 20)
     return both.where(F.col("expected") < F.col(seq)).select(source, "expected", F.col(seq).alias("observed"), (F.col(seq) - F.col("expected")).alias("missing"))
 
 
-def numbered(rows: DataFrame, order: str | Sequence[str | Column], name: str = "nth") -> DataFrame:
+def numbered(rows: DataFrame, order: str | Sequence[str | Column], name: str = "nth", cell: int | None = None) -> DataFrame:
     """Rows numbered from 1 in any order (columns or sort expressions), without sorting all of them in one task.
 
     One exchange deals the rows to ranges of the order and a checkpoint fixes which row is where; rows are
-    numbered within their range, from the sum of the ranges before.  Only one count for each range goes through one task.
+    numbered within their range, from the sum of the ranges before.  Only one count for each range goes through one task.  ``cell`` is about how many
+    rows a range should have; without it the session's number of shuffle partitions decides.
     Equal rows lie in one range and are numbered in any order, so the order should tell rows apart.
     """
     keys = [order] if isinstance(order, str) else list(order)
-    placed = checkpointed(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    parts = [] if cell is None else [max(1, -(-rows.count() // cell))]
+    placed = checkpointed(rows.repartitionByRange(*parts, *keys).withColumn("_range", F.spark_partition_id()))
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_start"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))

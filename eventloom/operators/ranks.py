@@ -70,15 +70,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*(f"_r_{i}" for i in range(len(keys))))
 
 
-def with_cohort_percentiles(rows: DataFrame, columns: Sequence[str], ranges: int = RANGES, suffix: str = "_percentile") -> DataFrame:
-    """Add for each column 100 * (share of all rows with a value at most this one); nulls are smaller than any value.
+def with_cohort_percentiles(rows: DataFrame, key: str, columns: Sequence[str], ranges: int = RANGES, suffix: str = "_percentile") -> DataFrame:
+    """Add for each column 100 * (share of all rows with a value at most this one); ``key`` is unique, nulls are smaller than any value.
 
     All columns are taken in one pass, as (column, value) pairs: distinct values with their counts are dealt to ranges between a sketch's
-    cuts, running counts are taken within a range and start at the sum of the ranges before.  No task sorts all rows, and
-    only ``ranges`` cuts a column are sent around.
+    cuts, running counts are taken within a range and start at the sum of the ranges before; the shares go back to the pairs, and
+    these to their rows.  No task sorts all rows, and only ``ranges`` cuts a column are sent around.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns)))
-    counts = rows.select(pairs.alias("p")).groupBy("p.name", "p.value").agg(F.count("*").alias("c"))
+    long = rows.select(F.col(key).alias("_key"), pairs.alias("p")).select("_key", "p.*")
+    counts = long.groupBy("name", "value").agg(F.count("*").alias("c"))
     cuts = counts.groupBy("name").agg(F.percentile_approx("value", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("cuts"))
     placed = counts.join(F.broadcast(cuts), "name").withColumn("range", F.when(F.col("value").isNull(), -1).otherwise(F.size(F.filter(F.coalesce("cuts", F.array()), lambda x: x < F.col("value"))))).drop("cuts")
     sums = placed.groupBy("name", "range").agg(F.sum("c").alias("s"))
@@ -87,8 +88,6 @@ def with_cohort_percentiles(rows: DataFrame, columns: Sequence[str], ranges: int
     inside = Window.partitionBy("name", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     shares = placed.withColumn("upto", F.sum("c").over(inside)).join(F.broadcast(starts), ["name", "range"])
     shares = shares.select("name", "value", (100.0 * (F.col("start") + F.col("upto")) / F.col("n")).alias("share"))
-    out = rows
-    for c in columns:
-        mine = shares.where(F.col("name") == c).select(F.col("value").alias("_value"), F.col("share").alias(f"{c}{suffix}"))
-        out = out.join(mine, out[c].cast("double").eqNullSafe(F.col("_value")), "left").drop("_value")
-    return out
+    ranked = null_safe_join(long, shares, ["name", "value"])
+    wide = ranked.groupBy("_key").agg(*(F.max(F.when(F.col("name") == c, F.col("share"))).alias(f"{c}{suffix}") for c in columns))
+    return rows.join(wide, rows[key].eqNullSafe(wide["_key"]), "left").drop("_key")

@@ -231,6 +231,31 @@ def styles(s):
     return rounded(an.style_profiles(r, "player_id", "sessions", ["damage_rate", "event_rate"]).drop("damage_rate", "event_rate"))
 
 
+_COUNTERS = {
+    "playtime_s": "count(*) * 7", "damage_dealt": "sum(value)", "damage_received": "sum(case when event_id % 3 = 0 then value end)", "deaths": "sum(case when event_type = 'error' then 1 else 0 end)",
+    "melee_hits": "sum(case when event_type = 'click' then 1 else 0 end)", "kick_hits": "sum(case when event_id % 17 = 0 then 1 else 0 end)", "melee_swings": "sum(case when event_type in ('click', 'view') then 1 else 0 end)",
+    "kick_swings": "sum(case when event_id % 9 = 0 then 1 else 0 end)", "projectile_hits": "sum(case when event_id % 11 = 0 then 1 else 0 end)", "shots_fired": "sum(case when event_id % 7 = 0 then 1 else 0 end)",
+    "blocks": "sum(case when event_id % 13 = 0 then 1 else 0 end)", "rolls": "sum(case when event_id % 5 = 0 then 1 else 0 end)", "active_distance": "sum(case when value > 20 then value end)",
+    "static_seconds": "sum(case when value < 5 then 3 else 0 end)", "combat_events": "sum(case when event_id % 2 = 0 then 1 else 0 end)",
+}
+_PLAYERS = "select user_id as player_id, count(distinct cast(ts as date)) as sessions, " + ", ".join(f"{v} as {k}" for k, v in _COUNTERS.items()) + " from events group by user_id"
+_RATES = {
+    "offense": "damage_dealt / greatest(playtime_s, 1)", "survival": "1 / greatest(deaths, 1)", "damage_efficiency": "damage_dealt / greatest(damage_received, 1)", "melee_precision": "(melee_hits + kick_hits) / greatest(melee_swings + kick_swings, 1)",
+    "ranged_projectile_effectiveness": "projectile_hits / greatest(shots_fired, 1)", "defense": "blocks / greatest(playtime_s, 1)", "movement": "active_distance / greatest(playtime_s, 1)", "consistency": "(sessions >= 2)::int",
+    "aggression": "combat_events / greatest(playtime_s, 1)", "staticness": "static_seconds / greatest(playtime_s, 1)", "block_roll_reliance": "(blocks + rolls) / greatest(playtime_s, 1)",
+}
+
+
+@query(
+    "agg33_all_rates",
+    f"with p as ({_PLAYERS}), r as (select player_id, sessions, " + ", ".join(f"round({v}, 9) as {k}" for k, v in _RATES.items()) + " from p) select player_id, sessions, " + ", ".join(f"round(100 * cume_dist() over (order by {k}), 6) as {k}_percentile" for k in _RATES) + ", round(least(1, sessions / 10), 6) as confidence, sessions >= 10 as published from r",
+)
+def all_rates(s):
+    rates = an.style_rates(s.sql(_PLAYERS))
+    rates = rates.select("player_id", "sessions", *(F.round(c, 9).alias(c) for c in an.STYLE_RATES))
+    return rounded(an.style_profiles(rates, "player_id", "sessions", list(an.STYLE_RATES)).drop(*an.STYLE_RATES))
+
+
 @query("win13_cohort_percentile", "select sample_id, round(100 * cume_dist() over (partition by session_id order by ping), 6) as percentile from network_samples")
 def cohort(s):
     return rounded(s.network_samples.select("sample_id", an.cohort_percentile("ping", ["session_id"]).alias("percentile")))

@@ -178,6 +178,26 @@ def fan_out(stream: DataFrame, checkpoint: str, sinks: dict[str, Callable[[DataF
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def periodic_review(stream: DataFrame, checkpoint: str, episodes: Callable[[DataFrame, int], None], patterns: Callable[[DataFrame, int], None], gap_ms: int = 1000, least: int = 12, every: str | None = "5 minutes", critical: Sequence[str] = CRITICAL) -> StreamingQuery:
+    """Every so often: the new events' episodes are closed and their signatures' counts confirmed, in two idempotent sinks.
+
+    The stream has server, round_id, event_id, t_us, event_type and signature.  What earlier batches had counts: it is
+    kept below the checkpoint (:class:`.live.Review`).  The sinks get a batch's own episodes, and its signatures with their
+    occurrences in the batch and the state that all batches so far give them.
+    """
+    from .live import Review
+
+    state = Review(stream.sparkSession, f"{checkpoint.rstrip('/')}/review", gap_ms, least, critical)
+
+    def review(batch: DataFrame, batch_id: int) -> None:
+        state.add(batch, batch_id)
+        episodes(state.episodes(batch_id), batch_id)
+        counted = batch.groupBy("signature").agg(F.count("*").alias("occurrences"))
+        patterns(counted.join(state.patterns().select("signature", "state"), "signature", "left"), batch_id)
+
+    return fan_out(stream, checkpoint, {"review": review}, every)
+
+
 def keyed_sink(path: str) -> Callable[[DataFrame, int], None]:
     """A sink whose files are replaced when a batch is written again."""
 

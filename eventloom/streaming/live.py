@@ -259,8 +259,10 @@ class Review:
         counted = self.seen.read().select("signature", "occurrences").withColumn("state", F.lit("candidate"))
         return confirm_patterns(counted, self.least_seen)
 
-    def episodes(self) -> DataFrame:
-        return self.opened.read().drop("day")
+    def episodes(self, batch_id: int | None = None) -> DataFrame:
+        """The episodes of all batches, or of one."""
+        rows = self.opened.read().drop("day")
+        return (rows if batch_id is None else rows.where(F.col("batch") == batch_id)).drop("batch")
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
         """Open and close a batch's episodes, count its signatures."""
@@ -271,7 +273,7 @@ class Review:
         now = batch.agg(F.max("t_us")).first()[0]
         opened = open_after(rows, carried, self.gap_ms, self.critical).select("server", "round_id", "event_id", F.col("t_us").alias("created_us"))
         opened = opened.withColumns({"status": F.lit("selected"), "closed_us": F.lit(None).cast("long")})
-        closed = close_episodes(opened, (now or 0) + 1).withColumn("day", F.date_format(F.timestamp_micros("created_us"), "yyyy-MM-dd"))
+        closed = close_episodes(opened, (now or 0) + 1).withColumn("batch", F.lit(batch_id).cast("long")).withColumn("day", F.date_format(F.timestamp_micros("created_us"), "yyyy-MM-dd"))
         self.opened.append(closed, "review", batch_id)
         # from what is stored, of the batch's days: a batch that failed in between gives the same
         days = [r[0] for r in batch.select(F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd")).distinct().collect()]

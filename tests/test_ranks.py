@@ -73,7 +73,7 @@ def test_robust_z_of_skewed_groups(spark):
 def test_cohort_percentiles(spark, ranges):
     rnd = random.Random(4)
     rows = [(i, rnd.choice([None, 1.0, 1.0, float(rnd.randrange(9))]), float(rnd.randrange(1000)), 5.0) for i in range(700)]
-    got = {r.i: r for r in with_cohort_percentiles(spark.createDataFrame(rows, "i long, a double, b double, c double").repartition(3), ["a", "b", "c"], ranges).collect()}
+    got = {r.i: r for r in with_cohort_percentiles(spark.createDataFrame(rows, "i long, a double, b double, c double").repartition(3), "i", ["a", "b", "c"], ranges).collect()}
     least = -math.inf
     for i, *values in rows:
         for name, k, v in zip("abc", range(3), values, strict=True):
