@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from ..staging import checkpointed
 from .ranks import exact_percentiles, null_safe_join, with_cohort_percentiles
 
-#: Scores between 0 and 1 are counted in so many cells to find a percentile.
-CELLS = 10_000
-
 
 def robust_z(rows: DataFrame, value: str, group: Sequence[str] = (), least: int = 3) -> DataFrame:
     """Add robust_z = 0.6745 (x - median) / MAD: null below ``least`` values, 0 where MAD is 0.
@@ -143,7 +140,7 @@ def isolation_scores(rows: DataFrame, row_id: str, features: Sequence[str], tree
 
     Each tree grows in a task of its own from ``sample`` rows drawn by hash; the forest (a bounded
     number of nodes) is sent to the tasks that score all rows.  The cut is the exact
-    ``1 - contamination`` percentile; with fewer than ``least`` rows nothing is an outlier.
+    ``1 - contamination`` percentile, found by counting equal scores; with fewer than ``least`` rows nothing is an outlier.
     """
     names = list(features)
     total = rows.count()
@@ -199,22 +196,8 @@ def isolation_scores(rows: DataFrame, row_id: str, features: Sequence[str], tree
             yield pd.DataFrame({row_id: pdf[row_id], "score": 2.0 ** (-paths / max(1, len(grown)) / norm)})
 
     scored = checkpointed(data.mapInPandas(score, f"{row_id} {rows.schema[row_id].dataType.simpleString()}, score double"))
-    # the percentile's two neighbours lie in cells that counts find, so only these cells' scores are sorted
-    cells = scored.groupBy(F.floor(F.col("score") * CELLS).cast("int").alias("cell")).count().orderBy("cell").collect()
-    at, below, wanted = (total - 1) * (1 - contamination), 0, {}
-    for r in cells:
-        for k in (math.floor(at), math.ceil(at)):
-            if below <= k < below + r["count"]:
-                wanted[k] = (r["cell"], k - below)
-        below += r["count"]
-    cut = float("inf")
-    if wanted:
-        near = Window.partitionBy("cell").orderBy("score")
-        some = scored.withColumn("cell", F.floor(F.col("score") * CELLS).cast("int")).where(F.col("cell").isin([c for c, _ in wanted.values()]))
-        ranked = some.withColumn("rank", F.row_number().over(near) - 1)
-        found = {(r["cell"], r["rank"]): r["score"] for r in ranked.where(" or ".join(f"(cell = {c} and rank = {k})" for c, k in wanted.values())).collect()}
-        low, high = found[wanted[math.floor(at)]], found[wanted[math.ceil(at)]]
-        cut = low + (high - low) * (at - math.floor(at))
+    found = exact_percentiles(scored, [], "score", [1 - contamination], ["cut"]).first()
+    cut = float("inf") if found is None else found["cut"]
     return scored.select(row_id, "score", (F.col("score") > cut) & F.lit(total >= least)).toDF(row_id, "score", "outlier")
 
 

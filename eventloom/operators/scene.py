@@ -96,6 +96,16 @@ def action_ngrams(sequences: DataFrame, actions: str, shortest: int = 2, longest
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
+def ordered_ngrams(rows: DataFrame, keys: Sequence[str], order: Sequence[str], action: str, shortest: int = 2, longest: int = 6) -> DataFrame:
+    """Counts of the contiguous n-grams of each key's actions in order, taken over a window: no key's sequence is held as a whole."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    item = F.struct(F.col(action).alias("a"))
+    near = rows.select(*(F.lead(item, k).over(w).alias(f"a{k}") if k else item.alias("a0") for k in range(longest)))
+    gram = lambda n: F.when(F.col(f"a{n - 1}").isNotNull(), F.concat_ws(">", *(F.col(f"a{k}.a") for k in range(n))))
+    grams = near.select(F.explode(F.array(*(gram(n) for n in range(shortest, longest + 1)))).alias("gram"))
+    return grams.where("gram is not null").groupBy("gram").agg(F.count("*").alias("n"))
+
+
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, left_time: str, right_time: str, row_id: str, values: Sequence[str], spans: dict[str, tuple[float, float, bool]]) -> DataFrame:
     """For each left row (``left_id`` is unique) and span the right row of its keys with time in [t + low, t + high].
 

@@ -86,8 +86,7 @@ def motifs(s):
 g as (select array_to_string(s[i:i + n - 1], '>') as gram from (select s, n, unnest(range(1, len(s) - n + 2)) as i from n)) select gram, count(*) as n from g group by 1""",
 )
 def ngrams(s):
-    sequences = s.key_input.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t_us", "event_id", "key"))), lambda x: x["key"]).alias("s"))
-    return sc.action_ngrams(sequences, "s")
+    return sc.ordered_ngrams(s.key_input, ["session_id"], ["t_us", "event_id"], "key")
 
 
 _NEAR = "select i.interaction_id, {agg}(({{'x': s.x, 'y': s.y, 'vx': s.vx, 'vy': s.vy}}), (s.game_ms, s.sample_id)) as v from i join state_samples s on s.round_id = i.round_id and {key} and s.game_ms between i.game_ms + {lo} and i.game_ms + {hi} group by 1"
