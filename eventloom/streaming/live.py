@@ -322,14 +322,16 @@ def review(stream: DataFrame, checkpoint: str, state: Review, every: str | None
 def run_until_idle(start: Callable[[], StreamingQuery], clock: bool = False) -> None:
     """Process all that a source has, batch by batch, and stop.
 
-    With ``clock`` the query's state has times to live, for which Spark runs batches without end; then the first batch without rows is the last.
+    With ``clock`` the query's state has times to live, for which Spark runs batches without end.  Every batch but the first after a
+    restart (which may be an old one run again) asks the source first, so after three batches without rows it has nothing left.
     """
     query = start()
     try:
         if not clock:
             query.processAllAvailable()
         while clock and not query.awaitTermination(0.1):
-            if (query.lastProgress or {}).get("numInputRows") == 0:
+            last = [p["numInputRows"] for p in query.recentProgress[-3:]]
+            if last == [0, 0, 0]:
                 break
     finally:
         query.stop()
