@@ -22,7 +22,8 @@ def day_of(time: str):
 def recompute(tables: dict[str, DataFrame], first: str, last: str, clamp_s: float = 30.0) -> dict[str, DataFrame]:
     """Results of all days from ``first`` to ``last``: the day is a grouping column, so a range is one job.
 
-    ``tables``: network_samples, combat_events.  Every result has report_date.
+    ``tables``: network_samples and combat_events; state_samples (with t_us), key_input and player_sessions, where given,
+    add movement, inputs and population.  Every result has report_date.
     """
     def within(rows: DataFrame) -> DataFrame:
         return rows.withColumn("report_date", day_of("t_us")).where(F.col("report_date").between(first, last))
@@ -33,7 +34,33 @@ def recompute(tables: dict[str, DataFrame], first: str, last: str, clamp_s: floa
     combat = within(tables["combat_events"])
     weapons = combat.groupBy("report_date", "weapon").agg(F.count("*").alias("events"), F.sum("damage").alias("damage"), F.avg("distance").alias("mean_distance"))
     pairs = combat.where("attacker_id <> victim_id").groupBy("report_date", F.least("attacker_id", "victim_id").alias("a"), F.greatest("attacker_id", "victim_id").alias("b")).agg(F.sum("damage").alias("damage"), F.count("*").alias("events"))
-    return {"network": network, "weapons": weapons, "pairs": pairs}
+    out = {"network": network, "weapons": weapons, "pairs": pairs}
+    if "state_samples" in tables:
+        out["movement"] = ts.movement(within(tables["state_samples"]), ["report_date", "session_id"], "game_ms", "sample_id", clamp_s)
+    if "key_input" in tables:
+        keys = within(tables["key_input"]).withColumn("series", F.concat_ws("|", "report_date", "session_id"))
+        inputs = ts.input_bursts(keys, "series", "t_us", "event_id")
+        out["inputs"] = inputs.withColumns({"report_date": F.substring_index("series", "|", 1), "session_id": F.substring_index("series", "|", -1).cast("long")}).drop("series")
+    if "player_sessions" in tables:
+        out["population"] = day_population(tables["player_sessions"], first, last)
+    return out
+
+
+def day_population(sessions: DataFrame, first: str, last: str) -> DataFrame:
+    """Per day of the range: sessions that overlap it, and distinct identities, humans and bots among them; open sessions last on.
+
+    A session counts for a day if it joined before the day's end and had not left before its start.
+    """
+    low, high = F.lit(first).cast("date"), F.lit(last).cast("date")
+    on = lambda us: F.to_date(F.timestamp_micros(us))
+    start, end = F.greatest(on(F.col("joined_us")), low), F.least(F.coalesce(on(F.col("left_us")), high), high)
+    rows = sessions.where(start <= end).select("session_id", "identity_id", "is_bot", F.explode(F.sequence(start, end)).alias("_day"))
+    # one row for each identity and day first, so that plain counts remain
+    each = rows.groupBy("_day", "identity_id", "is_bot").agg(F.count("*").alias("n"))
+    known = F.col("identity_id").isNotNull()
+    return each.groupBy(F.date_format("_day", "yyyy-MM-dd").alias("report_date")).agg(
+        F.sum("n").alias("sessions"), F.count_if(known & ~F.col("is_bot")).alias("humans"), F.count_if(known & F.col("is_bot")).alias("bots"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("unidentified")
+    )
 
 
 def summaries(results: dict[str, DataFrame], keep: int = 50) -> DataFrame:

@@ -33,6 +33,36 @@ def network(s):
     return rounded(_results(s)["network"].select("report_date", F.col("session_id"), "samples", "p95", "jitter"))
 
 
+def _everything(s):
+    midnight = F.unix_micros(F.col("round_id").cast("timestamp"))
+    states = s.state_samples.withColumn("t_us", midnight + F.round(F.col("game_ms") * 1000).cast("long"))
+    return rp.recompute({"network_samples": s.network_samples, "combat_events": s.combat_events, "state_samples": states, "key_input": s.key_input, "player_sessions": s.player_sessions}, *_RANGE, clamp_s=86_400.0)
+
+
+@query(
+    "job12_day_movement",
+    "with m as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from state_samples where round_id between '2024-01-05' and '2024-01-20' window w as (partition by round_id, session_id order by game_ms, sample_id)) select round_id as report_date, session_id, count(*) as samples, round(coalesce(sum(sqrt(dx * dx + dy * dy)), 0), 6) as distance from m group by 1, 2",
+)
+def day_movement(s):
+    return rounded(_everything(s)["movement"].select("report_date", "session_id", "samples", "distance"))
+
+
+@query(
+    "job12_day_inputs",
+    "with k as (select *, strftime(make_timestamp(t_us), '%Y-%m-%d') as report_date from key_input) select report_date, session_id, count(*) as events, count(*) filter (where transition in ('Pressed', 'Released')) as transitions, round(count(*) / greatest((max(t_us) - min(t_us)) / 60e6, 1 / 60), 6) as apm from k where report_date between '2024-01-05' and '2024-01-20' group by 1, 2",
+)
+def day_inputs(s):
+    return rounded(_everything(s)["inputs"].select("report_date", "session_id", "events", "transitions", "apm"))
+
+
+@query(
+    "job12_day_population",
+    "with d as (select unnest(generate_series(date '1998-05-01', date '1998-05-20', interval 1 day))::date as day), r as (select d.day, p.* from d join player_sessions p on p.joined_us < epoch_us((day + 1)::timestamp) and (p.left_us is null or p.left_us >= epoch_us(day::timestamp))) select strftime(day, '%Y-%m-%d') as report_date, count(*) as sessions, count(distinct case when not is_bot then identity_id end) as humans, count(distinct case when is_bot then identity_id end) as bots, count(*) filter (where identity_id is null) as unidentified from r group by 1",
+)
+def day_population(s):
+    return rp.day_population(s.player_sessions, "1998-05-01", "1998-05-20")
+
+
 @query("job13_day_summaries")
 def summaries(s):
     return rp.summaries(_results(s))
