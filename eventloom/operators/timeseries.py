@@ -24,6 +24,11 @@ def finite(c: Column, default: float = 0.0) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(default)).otherwise(v)
 
 
+def percentiles(value: Column, shares: Sequence[float], names: Sequence[str]) -> list[Column]:
+    """Linearly interpolated percentiles at (n - 1) * share as aggregates, for groups that are small by construction: a buffer holds their values."""
+    return [F.percentile(value, float(q)).alias(n) for q, n in zip(shares, names, strict=True)]
+
+
 def sample_steps(samples: DataFrame, entity: str, time: str, row_id: str, value: str, clamp_s: float = 30.0) -> DataFrame:
     """Add the previous value, the absolute step to it and the clamped seconds since it."""
     w = Window.partitionBy(entity).orderBy(time, row_id)
