@@ -199,9 +199,9 @@ select item_id, rank::int as rank, doc_id, score from (select *, row_number() ov
 
 
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = drop_at_exit(spark, new_path(spark, "tokens"))
+    path = new_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path)
-    return read_token_files(spark, path)
+    return read_token_files(spark, drop_at_exit(spark, path))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -51,7 +51,7 @@ def shuffle_files_freed(spark: SparkSession):
 
 
 def drop_at_exit(spark: SparkSession, path: str) -> str:
-    """``path``, which is deleted when the driver's JVM ends."""
+    """``path``, which exists and is deleted when the driver's JVM ends."""
     _files(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     return path
 
@@ -59,9 +59,10 @@ def drop_at_exit(spark: SparkSession, path: str) -> str:
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that reads it back."""
     spark = df.sparkSession
-    path = drop_at_exit(spark, path or new_path(spark, name))
+    path = path or new_path(spark, name)
     with shuffle_files_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
+    drop_at_exit(spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._eventloom_path = path
     return back
