@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.ordered import ordered_stream
@@ -14,13 +14,25 @@ from .streaming import _folder
 from .timeseries import rounded
 
 HOUR_US, GAP_MS = 3_600_000_000, 3_600_000
+#: Rows of a micro-batch, which costs some seconds whatever it holds; NUMBERED rows make a numbered batch.
+BATCH, NUMBERED = 500_000, 2000
 
 
-def _stream(s: Shapes) -> DataFrame:
-    """All events in batches of 2,000 by id, as rounds of a day on four servers."""
-    rows = ordered_stream(s.spark, f"{s.sf_dir}/events.parquet", 2000)
+def _rows(events: DataFrame) -> DataFrame:
     server = F.concat(F.lit("s"), F.col("user_id") % 4)
-    return rows.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), "user_id", "event_type", "value", server.alias("server"), F.date_format("ts", "yyyy-MM-dd").alias("round_id"))
+    return events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), "user_id", "event_type", "value", server.alias("server"), F.date_format("ts", "yyyy-MM-dd").alias("round_id"))
+
+
+def _stream(s: Shapes) -> DataFrame:
+    """All events in batches of ``BATCH`` by id, as rounds of a day on four servers."""
+    return _rows(ordered_stream(s.spark, f"{s.sf_dir}/events.parquet", BATCH, unbounded=True))
+
+
+def _by_time(s: Shapes) -> DataFrame:
+    """The same rows in order of time, from a sorted copy: none comes late, whatever the order of ids."""
+    at = f"{_folder(s)}/sorted"
+    _rows(s.events).where("t_us is not null").orderBy("t_us").write.option("maxRecordsPerFile", BATCH // 2).parquet(at)
+    return ordered_stream(s.spark, at, BATCH, "t_us", unbounded=True)
 
 
 def _run(stream: DataFrame, at: str, schema: str, clock: bool = False) -> DataFrame:
@@ -34,7 +46,8 @@ def batches(s):
     at = _folder(s)
 
     def each(rows: DataFrame, batch_id: int) -> None:
-        rows.select("event_id", F.lit(batch_id).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{at}/rows/n={batch_id}")
+        nth = F.row_number().over(Window.orderBy("event_id")) - 1  # a micro-batch is bounded and holds whole batches
+        rows.select("event_id", (F.lit(batch_id * (BATCH // NUMBERED)) + F.floor(nth / NUMBERED)).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{at}/rows/n={batch_id}")
 
     live.run_until_idle(lambda: st.fan_out(_stream(s), f"{at}/checkpoint", {"rows": each}, "0 seconds"))
     return s.spark.read.schema("event_id long, batch long").option("recursiveFileLookup", "true").parquet(f"{at}/rows")
@@ -67,7 +80,8 @@ def scene(s):
     rows = _stream(s).withColumns(
         {"kind": F.lit("object"), "object_id": F.col("user_id"), "game_ms": F.col("t_us") / 1000.0, "x": F.col("value"), "y": (F.col("event_id") % 10).cast("double"), "vx": F.col("value") / 10, "vy": (F.col("event_id") % 7).cast("double")}
     )
-    return rounded(_run(live.scene_deltas(rows), _folder(s), "event_id long, distance double, intensity double, acceleration double", clock=True))
+    rows = rows.withColumn("place", F.concat_ws("|", "server", "round_id"))  # a round that comes back goes on
+    return rounded(_run(live.scene_deltas(rows, "place"), _folder(s), "event_id long, distance double, intensity double, acceleration double", clock=True))
 
 
 _EVENTS = "e as (select event_id, epoch_us(ts) as t_us, 's' || user_id % 4 as server, strftime(ts, '%Y-%m-%d') as round_id, event_type from events)"
@@ -83,7 +97,7 @@ r(server, round_id, rn, last, opened) as (select server, round_id, rn, t_us, tru
     + " select c.server, c.round_id, c.event_id, c.t_us, case when sampled then 'sampled' else 'critical' end as reason, coalesce(array_to_string(list_filter(seen, lambda x: x is not null)[-5:], ','), '') as context from c join r on c.server = r.server and c.round_id = r.round_id and c.rn = r.rn where opened",
 )
 def thinned(s):
-    rows = st.with_event_time(_stream(s), "t_us", "10 minutes")
+    rows = st.with_event_time(_by_time(s), "t_us", "10 minutes")
     found = _run(live.thinned_episodes(rows, GAP_MS, 5, ("error",), ("click",), ("click", "view"), 60_000), _folder(s), live.EPISODE)
     return found.withColumn("context", F.array_join("context", ","))
 
@@ -91,7 +105,7 @@ def thinned(s):
 def _review(s: Shapes) -> live.Review:
     at = _folder(s)
     state = live.Review(s.spark, f"{at}/review", GAP_MS, critical=("error",))
-    live.run_until_idle(lambda: live.review(_stream(s).withColumn("signature", F.col("user_id").cast("string")), f"{at}/checkpoint", state, "0 seconds"))
+    live.run_until_idle(lambda: live.review(_by_time(s).withColumn("signature", F.col("user_id").cast("string")), f"{at}/checkpoint", state, "0 seconds"))
     return state
 
 

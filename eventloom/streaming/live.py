@@ -191,6 +191,9 @@ class _Episodes(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         upto = expiredTimerInfo.getExpiryTimeInMs() // self.slot_ms - 1
+        if not self.waiting.containsKey((upto,)):  # taken by the first timer of this watermark
+            return
+        upto = max(upto, timerValues.getCurrentWatermarkInMs() // self.slot_ms - 1)
         last, ring = self.state.get() if self.state.exists() else (None, [])
         out, ring = [], list(ring)
         for slot in sorted(k for (k,) in self.waiting.keys() if k <= upto):
