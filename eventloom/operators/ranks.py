@@ -63,6 +63,16 @@ def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str | Column,
     return result.select(*given, "n", *names)
 
 
+def sums_in_order(rows: DataFrame, keys: Sequence[str], value: str, order: str, name: str = "_sum") -> tuple[DataFrame, Column]:
+    """Rows with a running sum of ``value`` by ``order`` within ``keys``, and the aggregate that takes a key's whole sum from it.
+
+    Doubles don't add up to the same bits in any order: where a sum is compared with a limit or with other sums, partial sums of whatever tasks
+    would decide on ties.  Rows equal in ``order`` are taken by ``value``.  A key's rows are sorted and streamed, not held.
+    """
+    w = Window.partitionBy(*keys).orderBy(order, value).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({name: F.sum(value).over(w), f"{name}_nth": F.row_number().over(w)}), F.max_by(name, f"{name}_nth")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be null; the left's key columns stay."""
     renamed = right.select(*(F.col(k).alias(f"_r_{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))

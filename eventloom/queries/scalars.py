@@ -91,7 +91,7 @@ def labels(s):
 
 @query("agg26_combat_pairs", "select attacker_id, victim_id, count(*) as events, round(sum(damage), 6) as damage from combat_events where attacker_id is not null and victim_id is not null group by 1, 2 having sum(damage) > 100")
 def pairs(s):
-    return rounded(cb.directed_pairs(s.combat_events).where("damage > 100"))
+    return rounded(cb.directed_pairs(s.combat_events, ordered=True).where("damage > 100"))
 
 
 @query("agg18_display_names", "select identity_id, coalesce(arg_min(character_name, (joined_us, session_id)) filter (where character_name is not null), arg_min(account_name, (joined_us, session_id))) as name from player_sessions where identity_id is not null group by 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import combat as cb
 from eventloom.operators import scene as sc
+from eventloom.queries import catalog
 
 
 def plan(df):
@@ -64,3 +65,27 @@ def test_attribution_moves_no_matches(spark):
     out = cb.attribute_deaths(combat).collect()
     assert {(r.killer_id, r.confidence, tuple(r.assists)) for r in out} == {(409, "low", ())} and len(out) == 200
     assert written() - before < 100_000
+
+
+def write_events(spark, path, rows, files):
+    """Events (id, user, k, value) dealt to files by turns, so that partial sums meet in another order than ids."""
+    df = spark.createDataFrame(rows, "event_id long, user_id long, k int, value double")
+    df = df.selectExpr("event_id", "timestamp_micros(1704067200000000 + event_id) as ts", "user_id", "'click' as event_type", "value", "concat('{\"k\": ', k, '}') as props")
+    for i in range(files):
+        df.where(f"event_id % {files} = {i}").coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+
+
+def test_limits_see_sums_by_event_id(spark, tmp_path):
+    """By id the values add up to 100.00000000000001 or to 100; by files, to the other one for some pairs."""
+    rnd, rows, want = random.Random(5), [], set()
+    for user in range(400):
+        cents = [rnd.randrange(1, 2500) for _ in range(7)]
+        values = [c / 100 for c in cents] + [(10_000 - sum(cents)) / 100]
+        total = 0.0
+        for n, v in enumerate(values):
+            rows.append((user * 8 + n, user, 7, v))
+            total += v
+        if total > 100:
+            want.add(user)
+    write_events(spark, tmp_path, rows, 3)
+    assert {r.attacker_id for r in catalog.QUERIES["agg26_combat_pairs"](spark, str(tmp_path)).collect()} == want and 0 < len(want) < 400
