@@ -89,3 +89,13 @@ def test_limits_see_sums_by_event_id(spark, tmp_path):
             want.add(user)
     write_events(spark, tmp_path, rows, 3)
     assert {r.attacker_id for r in catalog.QUERIES["agg26_combat_pairs"](spark, str(tmp_path)).collect()} == want and 0 < len(want) < 400
+
+
+def test_copies_of_a_player_tie(spark, tmp_path):
+    """Copies of a player have one rate, whatever files and tasks their events come from."""
+    rnd = random.Random(6)
+    base = [[rnd.randrange(1, 30_000) / 100 for _ in range(30)] for _ in range(21)]
+    rows = [((c * 21 + u) * 31 + n, c * 21 + u, 7, v) for c in range(6) for u, vs in enumerate(base) for n, v in enumerate(vs)]
+    write_events(spark, tmp_path, rows, 4)
+    got = {r.player_id: r.damage_rate_percentile for r in catalog.QUERIES["agg33_style_profiles"](spark, str(tmp_path)).collect()}
+    assert all(got[c * 21 + u] == got[u] for c in range(6) for u in range(21)) and len(set(got.values())) == 21
