@@ -6,6 +6,7 @@ open), is_bot and reason.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,16 +128,16 @@ def player_day(sessions: DataFrame, visits: DataFrame, start_us: int, end_us: in
 def round_metrics(rounds: DataFrame, players: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per round: slots, joined sessions, distinct humans and bots, unidentified, late joins, duration, result quality."""
     joined = players.join(sessions.select("session_id", "identity_id", "is_bot"), "session_id", "left")
-    # dealt by round once; sessions, then identities, are reduced to one row each, so that plain counts remain
-    of_session = joined.repartition("round_id").groupBy("round_id", "session_id").agg(F.first("identity_id").alias("identity_id"), F.first("is_bot").alias("is_bot"), F.count_if("late_join").alias("late"))
-    of_identity = of_session.groupBy("round_id", "is_bot", "identity_id").agg(F.count("session_id").alias("n"), F.sum("late").alias("late"))
-    known = F.col("identity_id").isNotNull()
-    per = of_identity.groupBy("round_id").agg(
-        F.sum("n").alias("joined_sessions"),
-        F.count_if(~F.col("is_bot") & known).alias("humans"),
-        F.count_if(F.col("is_bot") & known).alias("bots"),
-        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("unidentified"),
-        F.sum("late").alias("late_joins"),
+    # one sort by round, identity and session, streamed: a session or identity counts where it first appears, and no table of them is held
+    order = Window.partitionBy("round_id").orderBy("is_bot", "identity_id", "session_id")
+    again = lambda *names: functools.reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.lag(n).over(order)) for n in names))
+    firsts = joined.select("round_id", "is_bot", "late_join", F.col("identity_id").isNotNull().alias("known"), (F.col("session_id").isNotNull() & ~again("session_id")).alias("session"), (~again("is_bot", "identity_id")).alias("identity"))
+    per = firsts.groupBy("round_id").agg(
+        F.count_if("session").alias("joined_sessions"),
+        F.count_if(F.col("identity") & F.col("known") & ~F.col("is_bot")).alias("humans"),
+        F.count_if(F.col("identity") & F.col("known") & F.col("is_bot")).alias("bots"),
+        F.count_if(F.col("session") & ~F.col("known")).alias("unidentified"),
+        F.count_if("late_join").alias("late_joins"),
     )
     out = rounds.join(per, "round_id", "left").na.fill(0, ["joined_sessions", "humans", "bots", "unidentified", "late_joins"])
     quality = F.coalesce("result_source", F.lit("inferred"))

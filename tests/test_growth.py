@@ -1,12 +1,14 @@
 """What a step moves grows with its input: plans without an exchange of matches, and results on dense tables."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
 from eventloom.operators import combat as cb
 from eventloom.operators import scene as sc
+from eventloom.operators import sessions as se
 from eventloom.queries import catalog
 
 
@@ -99,3 +101,20 @@ def test_copies_of_a_player_tie(spark, tmp_path):
     write_events(spark, tmp_path, rows, 4)
     got = {r.player_id: r.damage_rate_percentile for r in catalog.QUERIES["agg33_style_profiles"](spark, str(tmp_path)).collect()}
     assert all(got[c * 21 + u] == got[u] for c in range(6) for u in range(21)) and len(set(got.values())) == 21
+
+
+def test_round_metrics_hold_no_table_of_sessions(spark):
+    """Sessions and identities of a round are counted along one sort; only rounds are aggregated."""
+    rnd = random.Random(7)
+    sessions = [(i, rnd.choice([None, *range(6)]), rnd.random() < 0.3) for i in range(25)]
+    players = list({(rnd.choice([1, 2, 3, None]), rnd.choice([None, *range(30)]), rnd.random() < 0.5) for _ in range(150)})
+    of = {i: (identity, bot) for i, identity, bot in sessions}
+    want = []
+    for r in (1, 2, 3, 4):
+        mine = [(s, late, *of.get(s, (None, None))) for q, s, late in players if q == r]
+        who = {(identity, bot) for _, _, identity, bot in mine if identity is not None}
+        want.append((r, len({s for s, *_ in mine if s is not None}), sum(not b for _, b in who), sum(b for _, b in who), len({s for s, _, identity, _ in mine if s is not None and identity is None}), sum(late for _, late, *_ in mine)))
+    rounds = spark.createDataFrame([(r, 8, 1.0, None) for r in (1, 2, 3, 4)], "round_id long, player_count int, duration_ms double, result_source string")
+    got = se.round_metrics(rounds, spark.createDataFrame(players, "round_id long, session_id long, late_join boolean"), spark.createDataFrame(sessions, "session_id long, identity_id long, is_bot boolean"))
+    assert sorted(tuple(x)[:1] + tuple(x)[2:7] for x in got.collect()) == want
+    assert not re.search(r"keys=\[[^\]]*(session_id|identity_id)", plan(got))
