@@ -30,14 +30,18 @@ def validate(e: str = "e", data: str = "data") -> Column:
     error = F.when(F.col(e).isNull() | c("_corrupt").isNotNull(), "invalid JSON")
     for f in ("v", "seq", "ts", "type", "server_session", "round", "data"):
         error = error.when(c(f).isNull(), f"invalid {f}")
-    return error.when(F.expr(f"try_parse_json({e}.data) is null or schema_of_variant(try_parse_json({e}.data)) not like 'OBJECT%'"), "invalid data").when((c("v") != 1) | (c("seq") < 1), "unsupported version or sequence").when((c("type") == "") | (c("server_session") == ""), "empty type or server_session")
+    return error.when(F.expr(f"not coalesce(schema_of_variant(try_parse_json({e}.data)) like 'OBJECT%', false)"), "invalid data").when((c("v") != 1) | (c("seq") < 1), "unsupported version or sequence").when((c("type") == "") | (c("server_session") == ""), "empty type or server_session")
 
 
 def parse_envelopes(lines: DataFrame, column: str = "value", prefix: str = PREFIX) -> DataFrame:
-    """One row per line: the envelope's fields, the line and the error (null for sound ones)."""
+    """One row per line: the envelope's fields, the line and the error (null for sound ones).
+
+    The envelope comes out of a generator of one row: filters on its fields or the error are not pushed below that, where
+    they would parse the line again for each field that they name.
+    """
     text = F.rtrim(F.col(column), F.lit("\r\n"))
     body = F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1 << 30))
-    parsed = lines.select(F.col(column).alias("line"), body.alias("body"), F.from_json(body, ENVELOPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
+    parsed = lines.select(F.col(column).alias("line"), body.alias("body"), F.explode_outer(F.array(F.from_json(body, ENVELOPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))).alias("e"))
     error = F.when(F.col("body").isNull(), "prefix mismatch").otherwise(validate())
     fields = ["seq", "ts", "type", "server_session", "round", "player", "game_ms", "data"]
     return parsed.select("line", *(F.col(f"e.{f}").alias(f) for f in fields), error.alias("error"))

@@ -10,6 +10,7 @@ from eventloom.operators import combat as cb
 from eventloom.operators import scene as sc
 from eventloom.operators import sessions as se
 from eventloom.queries import catalog
+from eventloom.sources import envelope as ev
 
 
 def plan(df):
@@ -118,3 +119,15 @@ def test_round_metrics_hold_no_table_of_sessions(spark):
     got = se.round_metrics(rounds, spark.createDataFrame(players, "round_id long, session_id long, late_join boolean"), spark.createDataFrame(sessions, "session_id long, identity_id long, is_bot boolean"))
     assert sorted(tuple(x)[:1] + tuple(x)[2:7] for x in got.collect()) == want
     assert not re.search(r"keys=\[[^\]]*(session_id|identity_id)", plan(got))
+
+
+def test_lines_are_parsed_once(spark):
+    """A filter on an envelope's error or fields doesn't parse the line again; odd lines keep their errors."""
+    head = '{"v":1,"seq":%s,"ts":"2024-01-01T00:00:00.000Z","type":"a","server_session":"s","round":"","data":%s}'
+    lines = [None, "", "x", ev.PREFIX, ev.PREFIX + "{", *(ev.PREFIX + head % p for p in ((1, "{}"), (2, "[1]"), (3, "null"), (4, "3"), (0, "{}"), ('"q"', "{}")))]
+    parsed = ev.parse_envelopes(spark.createDataFrame([(x,) for x in lines], "value string").localCheckpoint())
+    sound, bad = ev.split_dead_letters(parsed)
+    for part in (sound, bad, sound.where("seq > 0 and type = 'a'").select("seq")):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [r.seq for r in sound.collect()] == [1] and bad.count() == len(lines) - 1
+    assert [r.error for r in parsed.collect()] == ["prefix mismatch"] * 3 + ["invalid JSON"] * 2 + [None, "invalid data", "invalid data", "invalid data", "unsupported version or sequence", "invalid JSON"]
