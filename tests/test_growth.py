@@ -54,6 +54,36 @@ def test_unlimited_sources_are_numbered_without_moving_matches(spark):
     assert matches_stay(out)
 
 
+def test_blocks_widen_with_the_windows(spark):
+    """Blocks of any width give the same matches; 500 windows of 4,000 rows move as 9 rows each, not as 63."""
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice("ab"), int(rnd.gauss(50, 15))) for i in range(900)]
+    episodes = [(1000 + i, rnd.choice("abc"), rnd.randrange(100)) for i in range(20)]
+    r, e = spark.createDataFrame(rows, "row long, round string, at long"), spark.createDataFrame(episodes, "episode_id long, round string, at long")
+    want = {(i, n): [q for _, q in sorted((t, q) for q, k, t in rows if k == g and at - 20 <= t <= at + 10)][:n] for i, g, at in episodes for n in (150, None)}
+    sources = {f"{n}": sc.EpisodeSource(r, "row", ["at"], n) for n in (150, None)}
+    for cells in (1, 64):
+        got = sc.whole_episodes(e, sources, "round", "at", None, "at", -20.0, 10.0, cells).orderBy("nth").collect()
+        assert {(i, n): [x.row_id for x in got if (x.episode_id, x.source) == (i, f"{n}")] for i, n in want} == want
+        assert [x.nth for x in got] == sorted(j + 1 for found in want.values() for j in range(len(found)))
+
+    def written():
+        time.sleep(1)
+        context, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    dense = spark.range(4000).selectExpr("id as row", "'r' as round", "id as at").localCheckpoint()
+    windows = spark.range(500).selectExpr("id as episode_id", "'r' as round", "2000 + id as at").localCheckpoint()
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sc.whole_episodes(windows, {"s": sc.EpisodeSource(dense, "row", ["at"], None)}, "round", "at", None, "at", -5000.0, 5000.0).count() == 2_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert written() - before < 20_000
+
+
 def test_attribution_moves_no_matches(spark):
     """200 deaths with 400 hits each by different attackers: 80,000 matches, of which none is exchanged."""
     hits = spark.range(400).selectExpr("id as event_id", "id * 1000 as t_us", "'r' as round_id", "'player_damage' as event_type", "id + 10 as attacker_id", "5 as victim_id", "1.0D as damage")
