@@ -81,7 +81,7 @@ def scene(s):
         {"kind": F.lit("object"), "object_id": F.col("user_id"), "game_ms": F.col("t_us") / 1000.0, "x": F.col("value"), "y": (F.col("event_id") % 10).cast("double"), "vx": F.col("value") / 10, "vy": (F.col("event_id") % 7).cast("double")}
     )
     rows = rows.withColumn("place", F.concat_ws("|", "server", "round_id"))  # a round that comes back goes on
-    return rounded(_run(live.scene_deltas(rows, "place"), _folder(s), "event_id long, distance double, intensity double, acceleration double", clock=True))
+    return rounded(_run(live.scene_deltas(rows, "place"), _folder(s), "event_id long, distance double, intensity double, acceleration double"))
 
 
 _EVENTS = "e as (select event_id, epoch_us(ts) as t_us, 's' || user_id % 4 as server, strftime(ts, '%Y-%m-%d') as round_id, event_type from events)"

@@ -3,7 +3,7 @@
 Keyed state is held by ``transformWithState`` (RocksDB, part of the checkpoint, so it survives a restart);
 totals and what a periodic review carries are versioned tables (:mod:`..sources.versioned`), which a batch changes once.
 
-* :func:`scene_deltas`: the last sample of each entity of a server's round, at most ``limit`` of them, forgotten with the round;
+* :func:`scene_deltas`: the last sample of each entity of a server's round, forgotten with the round;
 * :func:`open_gaps`: missing sequence ranges as a change log, so that a late sequence closes what it fills;
 * :func:`thinned_episodes`: events in event-time order behind the watermark, thinned, with the ring of frames before;
 * :func:`store_totals`: totals per key and minute that batches add to;
@@ -40,7 +40,7 @@ def with_state_store(stream: DataFrame) -> DataFrame:
 class _SceneState(StatefulProcessor):
     """State of one share of a server's entities: the round, the number of entities, and each one's last sample."""
 
-    def __init__(self, most: int, ttl_ms: int, columns: Sequence[str]):
+    def __init__(self, most: int | None, ttl_ms: int | None, columns: Sequence[str]):
         self.most, self.ttl_ms, self.columns = most, ttl_ms, list(columns)
 
     def init(self, handle) -> None:
@@ -61,7 +61,7 @@ class _SceneState(StatefulProcessor):
             if before is None and stored and self.last.containsKey((e,)):
                 before = tuple(self.last.getValue((e,)))
             if before is None:
-                if n >= self.most:
+                if self.most is not None and n >= self.most:
                     n, stored, fresh = 0, False, {}
                 n += 1
                 out.append((i, None, (vx * vx + vy * vy) ** 0.5, None))
@@ -80,19 +80,22 @@ class _SceneState(StatefulProcessor):
         pass
 
 
-def scene_deltas(stream: DataFrame, server: str = "server", round_col: str = "round_id", entity: Sequence[str] = ("kind", "object_id"), time: str = "game_ms", row_id: str = "event_id", limit: int = 50_000, spread: int = 16, ttl: int = 7_200_000) -> DataFrame:
+def scene_deltas(stream: DataFrame, server: str = "server", round_col: str = "round_id", entity: Sequence[str] = ("kind", "object_id"), time: str = "game_ms", row_id: str = "event_id", limit: int | None = None, spread: int = 16, ttl: int | None = None) -> DataFrame:
     """Per sample (x, y, vx, vy): distance to its entity's last one, speed, and change of velocity over 1 ms or more.
 
-    A server's entities are dealt to ``spread`` states, each with at most ``limit / spread`` entities of one round: a sample of another round
-    or one entity too many makes a state forget all it has, and what isn't touched for ``ttl`` ms goes by itself.  The first
+    A server's entities are dealt to ``spread`` states, each with all entities of one round; a sample of another round makes a state forget
+    all it has.  The state store keeps entities on disk, a task holds those of a batch.  The first
     sample of an entity has no distance.  Samples of a batch are taken by id; a state's share of a batch is
     held at once, so batches must be bounded (``ordered_events`` is).  Nulls in coordinates count as 0.
+
+    Only where they are given: with ``limit`` a state forgets all it has at one entity more than ``limit / spread``,
+    and with ``ttl`` what isn't touched for as many ms goes by itself (Spark then runs batches without end).
     """
     columns = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (time, "x", "y", "vx", "vy")]
     rows = stream.select(F.col(server).alias("_server"), F.col(round_col).cast("string").alias(round_col), F.col(row_id).cast("long").alias(row_id), F.to_json(F.struct(*entity)).alias("entity"), *columns)
     rows = rows.withColumn("_share", F.pmod(F.xxhash64("entity"), F.lit(spread)))
-    processor = _SceneState(max(1, limit // spread), ttl, (row_id, time, round_col))
-    return with_state_store(rows).groupBy("_server", "_share").transformWithStateInPandas(processor, f"{row_id} long, distance double, intensity double, acceleration double", "append", "ProcessingTime")
+    processor = _SceneState(None if limit is None else max(1, limit // spread), ttl, (row_id, time, round_col))
+    return with_state_store(rows).groupBy("_server", "_share").transformWithStateInPandas(processor, f"{row_id} long, distance double, intensity double, acceleration double", "append", "None" if ttl is None else "ProcessingTime")
 
 
 class _Gaps(StatefulProcessor):
@@ -327,6 +330,7 @@ def run_until_idle(start: Callable[[], StreamingQuery], clock: bool = False) ->
 
     With ``clock`` the query's state has times to live, for which Spark runs batches without end.  Every batch but the first after a
     restart (which may be an old one run again) asks the source first, so after three batches without rows it has nothing left.
+    A query that has no times after all waits for data instead.
     """
     query = start()
     try:
@@ -334,7 +338,7 @@ def run_until_idle(start: Callable[[], StreamingQuery], clock: bool = False) ->
             query.processAllAvailable()
         while clock and not query.awaitTermination(0.1):
             last = [p["numInputRows"] for p in query.recentProgress[-3:]]
-            if last == [0, 0, 0]:
+            if last == [0, 0, 0] or query.status["message"] == "Waiting for data to arrive":
                 break
     finally:
         query.stop()

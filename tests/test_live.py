@@ -184,6 +184,15 @@ def test_scene_state_is_bounded_and_forgets_rounds(spark, tmp_path):
     assert got == {0: None, 1: None, 2: 2.0, 3: None, 4: None, 5: None, 6: None}
 
 
+def test_scene_state_keeps_every_entity(spark, tmp_path):
+    """Two entities of 1,000 share one of 50,000 states now and then; none forgets the other, within a batch and over batches."""
+    feed, n = Feed(spark, tmp_path, 700), 1000
+    feed.add([row(i, 100 * i, obj=i % n, x=float(i // n)) for i in range(3 * n)])
+    feed.run(lambda s: live.scene_deltas(s.withColumn("kind", F.lit("object")).withColumn("game_ms", F.col("t_us") / 1000), spread=50_000))
+    got = {r.event_id: r.distance for r in feed.out("event_id long, distance double").collect()}
+    assert got == {i: 1.0 if i >= n else None for i in range(3 * n)}
+
+
 def thinned(rows, gap_us, frames, kept, upto):
     last, ring, out = {}, {}, []
     for i, t, server, round_id, kind, *_ in sorted(rows, key=lambda r: (r[1], r[0])):
